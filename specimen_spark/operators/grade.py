@@ -40,7 +40,9 @@ def _species_bins(df: DataFrame) -> DataFrame:
 
 
 def _bin_sharing(pairs: DataFrame) -> DataFrame:
-    counted = pairs.groupBy("bin_uri").agg(F.count(F.lit(1)).alias("species_count"))
+    # counting on `n` keeps the column in this branch too, so the shuffle of the pairs is
+    # the same in both branches and runs once
+    counted = pairs.groupBy("bin_uri").agg(F.count_if(F.col("n") > 0).alias("species_count"))
     return counted.withColumn(
         "is_shared", (F.col("species_count") > 1) & (F.col("bin_uri") != "")
     )
