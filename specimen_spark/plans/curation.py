@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from specimen_spark.functions.storage import materialize
 from specimen_spark.functions.text import not_blank
 from specimen_spark.operators import bins, clean, geo, grade, merge, score, species
+from specimen_spark.schema import conform
 from specimen_spark.sources import retrieval
 
 
@@ -53,6 +54,9 @@ def curate(
     The scored table feeds every branch, so it is written once to the shared folder
     (``write``) instead of being recomputed per branch.
     """
+    specimens = conform(
+        specimens, ["species", "bin_uri", "country_ocean", "family", "order", "genus"]
+    )
     scored = score.process_specimens(specimens, images)
     if write:
         scored = materialize(scored, "scored")
