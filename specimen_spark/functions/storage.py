@@ -1,6 +1,8 @@
 """Where intermediate tables go, and cutting lineage."""
 
+import hashlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +34,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_LOCK = threading.RLock()  # a build may ask for another written table
+
+
+def written_once(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """A derived table, written on first use and read after that.
+
+    Kept below the shared folder per application and source, so every query of an
+    application scans the same columnar table instead of deriving it again. ``build`` gives
+    the frame. Only a completely written table (with its success marker) is reused.
+    """
+    mark = hashlib.sha256(source.encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{mark}"
+    with _LOCK:
+        if not _complete(spark, path):
+            build().write.mode("overwrite").parquet(path)
+            _WRITTEN_SCHEMAS.pop(path, None)
+        if path not in _WRITTEN_SCHEMAS:
+            _WRITTEN_SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_WRITTEN_SCHEMAS[path]).parquet(path)
+
+
+_WRITTEN_SCHEMAS = {}
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(target))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from specimen_spark import rules
 from specimen_spark.functions.session import tune
-from specimen_spark.functions.storage import materialize, new_path
+from specimen_spark.functions.storage import new_path, written_once
 from specimen_spark.operators import (
     annotate, audit, bins, clean, filters, geo, grade, groups, merge, score, sessions, sinks,
     species, validate,
@@ -40,7 +40,8 @@ def imported(s, d):
 
 
 def scored(s, d):
-    return score.process_specimens(imported(s, d))
+    """The scored specimens, written once as a table: what a curator's session holds."""
+    return written_once(s, "scored", d, lambda: score.process_specimens(imported(s, d)))
 
 
 def annotations(s, d):
@@ -51,13 +52,8 @@ def grades(s, d):
     return grade.bags_grades(imported(s, d))
 
 
-def scored_table(s, d):
-    """The scored specimens as a written table, for queries that read them several times."""
-    return materialize(scored(s, d), "scored")
-
-
 def members(s, d, wanted):
-    df = scored_table(s, d)
+    df = scored(s, d)
     return groups.grade_members(df, grade.bags_grades(df), wanted)
 
 
@@ -407,12 +403,12 @@ def _(s, d):
 
 @query("process_specimens")
 def _(s, d):
-    return scored(s, d)
+    return score.process_specimens(imported(s, d))
 
 
 @query("quality_metrics")
 def _(s, d):
-    return score.quality_metrics(scored(s, d))
+    return score.quality_metrics(score.process_specimens(imported(s, d)))
 
 
 @query("rank_distribution")
@@ -422,7 +418,7 @@ def _(s, d):
 
 @query("criteria_coverage")
 def _(s, d):
-    return score.criteria_coverage(scored(s, d))
+    return score.criteria_coverage(score.process_specimens(imported(s, d)))
 
 
 # --- filters -------------------------------------------------------------------------------
@@ -549,7 +545,7 @@ def _group(df, wanted):
 
 
 def _groups(s, d, wanted):
-    return _group(scored_table(s, d), wanted)
+    return _group(scored(s, d), wanted)
 
 
 _ABD = ["A", "B", "D"]
@@ -584,7 +580,7 @@ def _(s, d):
 
 @query("group_caption")
 def _(s, d):
-    df = scored_table(s, d)
+    df = scored(s, d)
 
     def captions(wanted, label):
         info = groups.group_info(_group(df, wanted), label)
@@ -618,7 +614,7 @@ def _(s, d):
 
 @query("species_checklist")
 def _(s, d):
-    df = scored_table(s, d)
+    df = scored(s, d)
     return species.species_checklist(df, grade.bags_grades(df))
 
 
@@ -760,7 +756,7 @@ def _(s, d):
 
 @query("out_bundle")
 def _(s, d):
-    df = scored_table(s, d)
+    df = scored(s, d)
     tables = {
         "Summary": species.family_summary(df),
         "Specimens": sinks.export_columns(annotate.annot_merge_export(df, annotations(s, d))),

@@ -7,6 +7,8 @@ the check SQL reads the same rows. All rows of the source tables are used.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specimen_spark.functions.storage import written_once
+
 SPECIMEN_SOURCE = (
     "lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey "
     "JOIN nation ON s_nationkey = n_nationkey"
@@ -194,6 +196,11 @@ def specimens_from(lineitem, part, supplier, nation) -> DataFrame:
 
 
 def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specimen universe: all lines of the driver tables, written once as a table."""
+    return written_once(spark, "specimens", sf_dir, lambda: derive_specimens(spark, sf_dir))
+
+
+def derive_specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     return specimens_from(
         lineitem, *[table(spark, sf_dir, t) for t in ("part", "supplier", "nation")]
