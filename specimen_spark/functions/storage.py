@@ -1,6 +1,7 @@
 """Where intermediate tables go, and cutting lineage."""
 
 import hashlib
+import re
 import tempfile
 import threading
 import uuid
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Where it is unset and everything runs in one local process, a temporary folder is made and
+    set. On a cluster each machine would have its own, so there this is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
