@@ -1,11 +1,15 @@
 """Registered queries of this folder and their check SQL."""
 
+from specimen_spark.llm.decontaminate import OP1_SQL, op1_decontamination
 from specimen_spark.llm.packing import op2_packing
 from specimen_spark.llm.sharding import op4_sharding
+from specimen_spark.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL}
