@@ -1,6 +1,7 @@
 """Registered queries of this folder and their check SQL."""
 
 from specimen_spark.llm.decontaminate import OP1_SQL, op1_decontamination
+from specimen_spark.llm.jaccard import OP9_SQL, op9_jaccard
 from specimen_spark.llm.linededup import OP10_SQL, op10_linededup
 from specimen_spark.llm.packing import op2_packing
 from specimen_spark.llm.sharding import op4_sharding
@@ -11,7 +12,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op9_jaccard": op9_jaccard,
     "op10_linededup": op10_linededup,
 }
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op10_linededup": OP10_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op9_jaccard": OP9_SQL, "op10_linededup": OP10_SQL}
