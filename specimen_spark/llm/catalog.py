@@ -4,6 +4,7 @@ from specimen_spark.llm.decontaminate import OP1_SQL, op1_decontamination
 from specimen_spark.llm.jaccard import OP9_SQL, op9_jaccard
 from specimen_spark.llm.linededup import OP10_SQL, op10_linededup
 from specimen_spark.llm.packing import op2_packing
+from specimen_spark.llm.quality import op5_quality
 from specimen_spark.llm.sharding import op4_sharding
 from specimen_spark.llm.warc import op3_warc
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op9_jaccard": op9_jaccard,
     "op10_linededup": op10_linededup,
 }
