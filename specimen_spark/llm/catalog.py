@@ -1,5 +1,6 @@
 """Registered queries of this folder and their check SQL."""
 
+import corpus_pipeline
 from specimen_spark.llm.decontaminate import OP1_SQL, op1_decontamination
 from specimen_spark.llm.jaccard import OP9_SQL, op9_jaccard
 from specimen_spark.llm.linededup import OP10_SQL, op10_linededup
@@ -9,6 +10,7 @@ from specimen_spark.llm.sharding import op4_sharding
 from specimen_spark.llm.warc import op3_warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
