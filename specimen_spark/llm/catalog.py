@@ -7,6 +7,7 @@ from specimen_spark.llm.linededup import OP10_SQL, op10_linededup
 from specimen_spark.llm.packing import op2_packing
 from specimen_spark.llm.quality import op5_quality
 from specimen_spark.llm.sharding import op4_sharding
+from specimen_spark.llm.substring import OP7_SQL, op7_substring
 from specimen_spark.llm.warc import op3_warc
 
 QUERIES = {
@@ -16,8 +17,9 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op7_substring": op7_substring,
     "op9_jaccard": op9_jaccard,
     "op10_linededup": op10_linededup,
 }
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op9_jaccard": OP9_SQL, "op10_linededup": OP10_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_substring": OP7_SQL, "op9_jaccard": OP9_SQL, "op10_linededup": OP10_SQL}
