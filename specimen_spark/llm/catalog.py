@@ -1,6 +1,8 @@
 """Registered queries of this folder and their check SQL."""
 
 import corpus_pipeline
+from specimen_spark.llm.ann import op6_ann
+from specimen_spark.llm.chat import op8_chat
 from specimen_spark.llm.decontaminate import OP1_SQL, op1_decontamination
 from specimen_spark.llm.jaccard import OP9_SQL, op9_jaccard
 from specimen_spark.llm.linededup import OP10_SQL, op10_linededup
@@ -17,7 +19,9 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_ann": op6_ann,
     "op7_substring": op7_substring,
+    "op8_chat": op8_chat,
     "op9_jaccard": op9_jaccard,
     "op10_linededup": op10_linededup,
 }
