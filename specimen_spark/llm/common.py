@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 
 import pyarrow as pa
@@ -32,18 +31,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting to delete an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder, read it back, and let go of its shuffle files.
+    """Write a frame to the shared folder and read it back, then let its shuffle files go.
+
+    So the disk in use stays near that of the largest stage, not of all stages.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
+def without(docs: DataFrame, mark: str, bad: DataFrame) -> DataFrame:
+    """The rows whose ``mark``, an expression over ``row.<column>``, is not in the one column of ``bad``.
 
-    Spark deletes the shuffle files of a finished job when the driver's objects for it are
-    collected; asking for that here keeps the disk in use near that of the largest stage.
+    All columns pass, whatever their names; a null mark matches a null.
     """
-    out = materialize(df, name)
-    del df
-    gc.collect()
-    df_spark = out.sparkSession
-    df_spark.sparkContext._jvm.System.gc()
-    return out
+    key = bad.columns[0]
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.expr(mark).alias("mark"))
+    gone = bad.select(F.col(key).alias("gone"))
+    return rows.join(gone, F.col("mark").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
 
 
 def row_number_gapless(placed: DataFrame, group: list, order: list, out: str) -> DataFrame:

@@ -20,33 +20,43 @@ from pyspark.sql import functions as F
 from specimen_spark.llm.common import staged, table
 
 MIN_WORDS = 8
-SEGMENTS = 4
+SEGMENTS = 2
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LAST = (1 << 63) - 1
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, _UPPER, _LOWER), r"[ \t\x0B\f\r]+"), "")
+    """Words stand between spaces; case is ignored."""
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _identity(of: str = "") -> tuple[Column, Column]:
+    """d and t, which tell a document: repeated rows share them, a null id comes last."""
+    return F.coalesce(F.col(of + "doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(of + "text").alias("t")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(*_identity(), F.col("text").cast("string").alias("text"))
+
+
 def long_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(pos, lid, n, w) of every line that takes part; pos orders lines over the corpus.
+    """(lid, n, d, t, l, v0, v1, ...) of every line that takes part, with its level-1 variants.
 
-    A document is told by its id and its text: repeated rows share their positions and so
-    their fate. A null id comes after all others.
+    Variants 0 to SEGMENTS - 1 are the line's own (role 0), the others those of the longer line of a
+    pair (role 1).
     """
-    mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    lines = docs.select(
-        mark.alias("d"), F.xxhash64("text").alias("t"), F.posexplode(lines_of(F.col("text").cast("string"))).alias("l", "line")
-    ).select("d", "t", "l", words_of(F.col("line")).alias("w"))
-    return lines.filter(F.size("w") >= min_words).select(
-        F.struct("d", "t", "l").alias("pos"), F.xxhash64("w").alias("lid"), F.size("w").alias("n"), "w"
-    )
+    lines = identified(docs).select(
+        "d", "t", F.posexplode(lines_of(F.col("text"))).alias("l", "line")
+    ).select("d", "t", "l", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
+    keys = [
+        _part_key(F.col("w"), F.col("n"), F.col("n") - role, j).alias(f"v{role * SEGMENTS + j}")
+        for role in (0, 1) for j in range(SEGMENTS)
+    ]
+    return lines.select(F.xxhash64("w").alias("lid"), "n", "d", "t", "l", *keys)
 
 
 def _part_key(w: Column, n: Column, length: Column, j: int) -> Column:
@@ -60,35 +70,37 @@ def _begin(length: Column, j: int) -> Column:
 
 
 def earliest_lines(lines: DataFrame) -> DataFrame:
-    """Each distinct line once: lid, n, first position, and its level-1 variants.
+    """Each distinct line once: lid, n, first position, and its level-1 variants."""
+    keys = [F.min(f"v{i}").alias(f"v{i}") for i in range(2 * SEGMENTS)]
+    return lines.groupBy("lid", "n").agg(F.min(F.struct("d", "t", "l")).alias("first"), *keys)
 
-    Role 0: the line as it is; role 1: as the longer line of a pair.
-    """
-    w, n = F.col("w"), F.col("n")
-    keys = F.array(*[
-        F.struct(F.lit(role).alias("role"), F.lit(j).alias("j"), _part_key(w, n, n - role, j).alias("k1"))
-        for role in (0, 1) for j in range(SEGMENTS)
-    ])
-    return lines.select("lid", "n", "pos", keys.alias("keys")).groupBy("lid", "n").agg(
-        F.min("pos").alias("first"), F.min("keys").alias("keys")
-    )
 
-
-def replaced_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def replaced_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """lids of distinct lines with an earlier line one word away."""
-    parts = firsts.select("lid", "first", F.explode("keys").alias("v")).select("lid", "first", "v.*")
-    shared = parts.groupBy("k1").agg(
-        F.count(F.lit(1)).alias("m"), F.min("role").alias("least")
-    ).filter("m > 1 and least = 0").select(F.col("k1").alias("key"))
-    candidates = staged(
-        parts.join(shared, F.col("k1") == F.col("key"))
-        .groupBy("lid").agg(F.min("first").alias("first"), F.collect_set(F.struct("role", "j", "k1")).alias("parts")),
-        "line_candidates",
+    variants = F.explode(F.array(*[
+        F.struct(F.lit(i // SEGMENTS).alias("role"), F.lit(i % SEGMENTS).alias("j"), F.col(f"v{i}").alias("k1"))
+        for i in range(2 * SEGMENTS)
+    ])).alias("v")
+    shared = staged(
+        firsts.select(variants).groupBy("v.k1").agg(F.count(F.lit(1)).alias("m"), F.min("v.role").alias("least"))
+        .filter("m > 1 and least = 0").select(F.col("k1").alias("key")),
+        "shared_variants",
+    )
+    candidates = (
+        firsts.select("lid", "n", "first", variants).select("lid", "n", "first", "v.*")
+        .join(shared, F.col("k1") == F.col("key"))
+        .groupBy("first.d", "first.t").agg(F.collect_list(F.struct("first.l", "lid", "n", "role", "j", "k1")).alias("cs"))
+        .select(F.col("d").alias("cd"), F.col("t").alias("ct"), "cs")
     )
+    # Only documents that hold a candidate are cut into lines again; their number bounds each list.
     texts = staged(
-        lines.select(F.col("lid").alias("line"), "n", "w", "pos")
-        .join(candidates, (F.col("line") == F.col("lid")) & (F.col("pos") == F.col("first")))
-        .select("lid", "n", "first", "w", "parts").dropDuplicates(["lid"]),
+        identified(docs).join(
+            staged(candidates, "line_candidates"), (F.col("d") == F.col("cd")) & (F.col("t") == F.col("ct")))
+        .select("d", "t", lines_of(F.col("text")).alias("ls"), F.explode("cs").alias("c"))
+        .select("d", "t", "c.*", words_of(F.element_at("ls", F.col("c.l") + 1)).alias("w"))
+        .groupBy("lid").agg(
+            F.first("n").alias("n"), F.min(F.struct("d", "t", "l")).alias("first"), F.first("w").alias("w"),
+            F.collect_set(F.struct("role", "j", "k1")).alias("parts")),
         "line_texts",
     )
 
@@ -163,32 +175,30 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All documents with ``n_lines``, ``n_removed`` and the text of the lines that stay.
 
     Null text has no lines and stays null; empty and short lines stay; line order is kept. Other
-    columns pass through. An empty table gives no rows.
+    columns pass through, whatever their names. An empty table gives no rows.
     """
-    mark = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_t": F.xxhash64("text")}
-    lines = long_lines(docs, min_words)
-    firsts = staged(earliest_lines(lines), "lines")
-    gone = replaced_lines(lines, firsts)
-    kept = staged(
-        firsts.select("lid", "first").join(gone.withColumnRenamed("lid", "_gone"), F.col("lid") == F.col("_gone"), "left_anti")
-        .groupBy(F.col("first.d").alias("_kd"), F.col("first.t").alias("_kt"))
-        .agg(F.collect_set("first.l").alias("_kept")),
-        "kept_lines",
+    lines = staged(long_lines(docs, min_words), "lines")
+    firsts = staged(earliest_lines(lines), "distinct_lines")
+    gone = replaced_lines(docs, firsts).select(F.col("lid").alias("gone"))
+    stay = staged(
+        firsts.select(F.col("lid").alias("key"), "first").join(gone, F.col("key") == F.col("gone"), "left")
+        .select("key", "first", F.col("gone").isNull().alias("stays")),
+        "staying_lines",
     )
-    wide = docs.withColumns(mark)
-    joined = wide.join(kept, (F.col("_d") == F.col("_kd")) & (F.col("_t") == F.col("_kt")), "left")
-    stay = F.filter(
-        lines_of(F.col("text").cast("string")),
-        lambda line, i: (F.size(words_of(line)) < min_words) | F.array_contains(
-            F.coalesce(F.col("_kept"), F.array().cast("array<int>")), i),
+    lost = staged(
+        lines.select("lid", "d", "t", "l").join(stay, F.col("lid") == F.col("key"))
+        .filter(~(F.col("stays") & (F.struct("d", "t", "l") == F.col("first"))))
+        .groupBy(F.col("d").alias("ld"), F.col("t").alias("lt")).agg(F.collect_set("l").alias("lost")),
+        "lost_lines",
     )
-    names = [c for c in docs.columns if c != "text"]
-    out = joined.withColumn("_all", F.coalesce(F.size(lines_of(F.col("text").cast("string"))), F.lit(0))).withColumn("_stay", stay)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.col("_all")).cast("long")
-    n_stay = F.when(F.col("text").isNull(), 0).otherwise(F.size("_stay")).cast("long")
-    return out.select(
-        *names, F.array_join("_stay", "\n").alias("text"),
-        n_lines.alias("n_lines"), (n_lines - n_stay).alias("n_removed"),
+    rows = docs.select(F.struct("*").alias("row")).select("row", *_identity("row."))
+    text, lines_ = F.col("row.text"), lines_of(F.col("row.text").cast("string"))
+    kept = F.array_join(F.filter(lines_, lambda line, i: ~F.array_contains("lost", i)), "\n")
+    return rows.join(lost, (F.col("d") == F.col("ld")) & (F.col("t") == F.col("lt")), "left").select(
+        *[F.when(F.col("lost").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"row.{c}").alias(c)
+          for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size(lines_)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
@@ -201,7 +211,7 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 with l as (
   select doc_id, i - 1 l, ls[i] line,
-    list_filter(regexp_split_to_array(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0B\f\r]+'), lambda x: x <> '') w
+    list_filter(regexp_split_to_array(lower(ls[i]), ' +'), lambda x: x <> '') w
   from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, string_split(text, chr(10)) ls from documents where text is not null))),
 f as (select w, min((doc_id, l)) first from l where len(w) >= 8 group by w),
 v as (select w, first, len(w) n, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') rest from (select *, unnest(range(1, len(w) + 1)) i from f)),
