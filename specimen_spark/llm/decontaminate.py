@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm.common import staged, table
+from specimen_spark.llm.common import staged, table, without
 
 WORDS = 10
 #: Windows that may be broadcast: about 200 bytes each, so some 100 MB.
@@ -126,10 +126,9 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS) -
 
     A document is told by its id and text, so repeated rows stay or go together.
     """
-    wide = docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
     marked = hits(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, n)
-    bad = staged(marked.filter("pos > 0").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return wide.join(bad, F.col("_mark") == F.col("_bad"), "left_anti").select(*docs.columns)
+    bad = staged(marked.filter("pos > 0").select("doc_id").distinct(), "contaminated")
+    return without(docs, "xxhash64(row.doc_id, row.text)", bad)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
