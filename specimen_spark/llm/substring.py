@@ -18,9 +18,11 @@ A run is judged on the input, not on what is left.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,13 @@ _LAST = (1 << 63) - 1
 # Perfect difference covers, period -> cover.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 
-ROWS = "h long, g int, d long, t long, pos int, known binary, n_words long, sha string"
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
-_NAMES = [x.split()[0] for x in ROWS.split(", ")]
+#: Rows to be dealt by key: an anchor (pos >= 0), or what passes: a task's repeats of a document
+#: (x: places) or a document row itself (x: HEAD).
+ANCHORS = "h long, doc long, pos int, x binary"
+RUNS = "h long, g int, d long, t long, pos int, x binary"
+_TYPES = {"h": pa.int64(), "g": pa.int32(), "d": pa.int64(), "t": pa.int64(), "doc": pa.int64(), "pos": pa.int32(), "x": pa.binary()}
+SENT, PLACES, HEAD = -1, -2, -3  # SENT: an anchor whose documents know that it is repeated
+_HEAD = "<qqq32s"  # d, t, words, SHA-256 of the words
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -49,67 +55,68 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS[period]
 
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
+def _rows(schema: str, n: int, **columns) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(_NAMES, _TYPES)], names=_NAMES)
+        [pa.array(columns[k], _TYPES[k]) if k in columns else pa.nulls(n, _TYPES[k]) for k in names], names=names)
 
 
 class Held:
-    """First places of keys in a task's segment; repeats go to their documents at once."""
-
-    def __init__(self):
-        self.h, self.g, self.doc, self.pos, self.size = [], [], [], [], 0
-        self.d, self.t = [], []
-        self.docs = 0
-
-    def add(self, h, g, owner, pos, d, t):
-        self.h.append(h)
-        self.g.append(g)
-        self.doc.append(owner + self.docs)
-        self.pos.append(pos)
-        self.d.append(d)
-        self.t.append(t)
-        self.docs += len(d)
+    """Keys of a task's segment with their places, and the documents they lie in.
+
+    ``docs`` columns tell a document: (doc,) for anchors, (d, t) for runs.
+    """
+
+    def __init__(self, names: tuple):
+        self.names, self.keys, self.docs, self.size, self.n = names, [], [], 0, 0
+
+    def add(self, h, g, owner, pos, *docs):
+        self.keys.append((h, g, owner + self.n, pos))
+        self.docs.append(docs)
+        self.n += len(docs[0])
         self.size += len(h)
 
-    def flush(self, runs: bool):
-        """Row batches. Anchors: a key's repeats and its first are known, the first is sent as
-        repeated. Runs: a key's earliest is sent, the others are known to be repeats."""
-        if not self.docs:
+    def flush(self):
+        """Batches: each key once, and for each document the places known to repeat.
+
+        A run's earliest place is sent and all other places are repeats. An anchor met once is sent;
+        of one met more often all places are repeats.
+        """
+        if not self.size:
             return
-        h, g = np.concatenate(self.h), np.concatenate(self.g)
-        doc, pos = np.concatenate(self.doc), np.concatenate(self.pos)
-        d, t = np.concatenate(self.d), np.concatenate(self.t)
-        order = np.lexsort((pos, t[doc], d[doc], g, h)) if runs else np.argsort(h, kind="stable")
+        h, g, doc, pos = (np.concatenate(c) for c in zip(*self.keys))
+        ids = [np.concatenate(c) for c in zip(*self.docs)]
+        runs = len(ids) == 2
+        order = np.lexsort((pos, ids[1][doc], ids[0][doc], g, h)) if runs else np.argsort(h, kind="stable")
         h, g, doc, pos = h[order], g[order], doc[order], pos[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
         if runs:
-            lead = doc[first]
-            known = (d[doc] != d[lead]) | (t[doc] != t[lead]) | (pos != pos[first])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            repeat = (ids[0][doc] != ids[0][doc[first]]) | (ids[1][doc] != ids[1][doc[first]]) | (pos != pos[first])
         else:
-            repeated = np.zeros(len(h), bool)
-            repeated[1:] |= ~new[1:]
-            repeated[:-1] |= ~new[1:]
-            known = repeated
+            repeat = np.zeros(len(h), bool)
+            repeat[1:] = ~new[1:]
+            repeat[:-1] |= ~new[1:]
         at = np.flatnonzero(new)
         for i in range(0, len(at), 50_000):
             k = at[i : i + 50_000]
-            cells = {"h": h[k].view(np.int64), "g": g[k], "d": d[doc[k]], "t": t[doc[k]], "pos": pos[k].astype(np.int32)}
-            if not runs:  # a repeated anchor's documents know it already
-                cells["pos"] = pa.array(cells["pos"], mask=known[k])
-            yield _rows(len(k), **cells)
-        k = np.flatnonzero(known)
+            place = pos[k] if runs else np.where(repeat[k], SENT, pos[k])
+            cells = {n: c[doc[k]] for n, c in zip(self.names, ids)}
+            yield _rows(RUNS if runs else ANCHORS, len(k), h=h[k].view(np.int64), pos=place.astype(np.int32), **cells,
+                        **({"g": g[k]} if runs else {}))
+        k = np.flatnonzero(repeat)
         k = k[np.lexsort((pos[k], doc[k]))]
         cuts = np.flatnonzero(np.diff(doc[k], prepend=-1))
         for i in range(0, len(cuts), 10_000):
             some = cuts[i : i + 10_000]
             ends = [*cuts[i + 1 : i + 1 + len(some)], len(k)][: len(some)]
-            parts = [pos[k[a:b]].astype("<i4").tobytes() for a, b in zip(some, ends)]
             own = doc[k[some]]
-            yield _rows(len(some), d=d[own], t=t[own], known=parts, h=(t[own] ^ np.arange(len(own))))
-        self.__init__()
+            yield _rows(
+                RUNS if runs else ANCHORS, len(some), h=h[k[some]].view(np.int64), pos=np.full(len(some), PLACES, np.int32),
+                x=[pos[k[a:b]].astype("<i4").tobytes() for a, b in zip(some, ends)],
+                **{n: c[own] for n, c in zip(self.names, ids)})
+        self.__init__(self.names)
 
 
 def _texts(batches):
@@ -123,106 +130,126 @@ def _ids(part: pa.RecordBatch):
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Anchor rows (h, d, t, pos), known repeats (d, t, known) and one head per document row."""
+    """Anchors, known repeats and heads of all documents; ``doc`` numbers the rows of this scan."""
     period, cover = cover_for(length)
     size = length - period + 1
     in_cover = np.zeros(period, bool)
     in_cover[list(cover)] = True
 
     def run(batches):
-        held = Held()
+        held, number = Held(("doc",)), TaskContext.get().partitionId() << 33
         for part in _texts(batches):
             words = Words(part.column("text"))
             counts = np.diff(words.bounds)
-            d, t = _ids(part)
-            digests = [hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest() for x in part.column("text").to_pylist()]
-            yield _rows(len(d), d=d, t=t, n_words=counts.astype(np.int64), sha=digests, h=t ^ np.arange(len(t)))
+            ids = number + np.arange(len(counts))
+            number += len(counts)
+            heads = [
+                struct.pack(_HEAD, d, t, n, hashlib.sha256(b" ".join((x or "").encode().split())).digest())
+                for d, t, n, x in zip(*(part.column(c).to_pylist() for c in ("d", "t")), counts.tolist(), part.column("text").to_pylist())
+            ]
+            yield _rows(ANCHORS, len(ids), h=ids * 0x5851F42D4C957F2D, doc=ids, pos=np.full(len(ids), HEAD, np.int32), x=heads)
             owner = np.repeat(np.arange(len(counts)), counts)
             place = np.arange(len(owner)) - words.bounds[:-1][owner]
             # an anchor matters only inside a run of the full length
             long = (counts >= length)[owner]
             h, whole = words.grams(size)
             at = np.flatnonzero(whole & long[: len(h)] & in_cover[place[: len(h)] % period])
-            held.add(h[at], np.zeros(len(at), np.int32), owner[at], place[at], d, t)
+            held.add(h[at], np.zeros(len(at), np.int32), owner[at], place[at], ids)
             if held.size > HELD:
-                yield from held.flush(runs=False)
-        yield from held.flush(runs=False)
+                yield from held.flush()
+        yield from held.flush()
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(run, ANCHORS)
 
 
-def _sorted_by_key(rows: DataFrame) -> DataFrame:
-    return rows.repartition("h").sortWithinPartitions("h", "g", "d", "t", "pos")
+FOUND = "doc long, pos int, known binary, d long, t long, n_words long, sha string"
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """From sorted rows: (d, t, pos) of anchors that two tasks have; other rows pass."""
+    """(doc, pos) of anchors that two tasks have, (doc, known) repeats, and heads, spelled out."""
+
+    def passed(batch):
+        doc, pos, x = batch.column("doc"), batch.column("pos").to_numpy(), batch.column("x")
+        n, places, head = len(pos), pos == PLACES, pos == HEAD
+        heads = [struct.unpack(_HEAD, v) for v in x.filter(pa.array(head)).to_pylist()]
+        empty = pa.nulls
+        yield pa.RecordBatch.from_arrays(
+            [doc.filter(pa.array(places)), empty(int(places.sum()), pa.int32()), x.filter(pa.array(places)),
+             *(empty(int(places.sum()), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=_FOUND)
+        k = len(heads)
+        d, t, words, sha = zip(*heads) if heads else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [doc.filter(pa.array(head)), empty(k, pa.int32()), empty(k, pa.binary()), pa.array(d, pa.int64()), pa.array(t, pa.int64()),
+             pa.array(words, pa.int64()), pa.array([v.hex() for v in sha], pa.string())], names=_FOUND)
+
+    def repeats(doc, pos, keep):
+        k = int(keep.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[keep]), pa.array(pos[keep]), pa.nulls(k, pa.binary()),
+             *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=_FOUND)
 
     def run(batches):
-        held, met = None, False
+        held, met = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = batch.column("g").is_valid()
-            yield batch.filter(pa.compute.invert(anchor))
-            batch = batch.filter(anchor)
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
-            if not batch.num_rows:
+            pos = batch.column("pos").to_numpy()
+            anchor = pos >= SENT
+            if not anchor.all():
+                yield from passed(batch.filter(pa.array(~anchor)))
+            h, doc, pos = (np.concatenate([was, c[anchor]]) for was, c in zip(
+                held, (batch.column("h").to_numpy(), batch.column("doc").to_numpy(), pos)))
+            if not len(h):
                 continue
-            h = batch.column("h").to_numpy()
             same = np.zeros(len(h) + 1, bool)
             same[1:-1] = h[1:] == h[:-1]
             same[0] = met
-            keep = (same[:-1] | same[1:]) & batch.column("pos").is_valid().to_numpy(zero_copy_only=False)
-            yield batch.slice(0, len(h) - 1).filter(pa.array(keep[:-1]))
-            held, met = batch.slice(len(h) - 1), bool(same[-2])
-        if held is not None and met and held.column("pos")[0].is_valid:
-            yield held
+            keep = (same[:-1] | same[1:]) & (pos >= 0)
+            keep[-1] = False
+            yield repeats(doc, pos, keep)
+            held, met = [h[-1:], doc[-1:], pos[-1:]], bool(same[-2])
+        if met:
+            yield repeats(held[1], held[2], held[2] >= 0)
 
-    return _sorted_by_key(rows).mapInArrow(run, ROWS)
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, FOUND)
+
+
+_FOUND = [x.split()[0] for x in FOUND.split(", ")]
 
 
 def candidate_runs(docs: DataFrame, length: int) -> DataFrame:
-    """Runs around repeated anchors, ``places`` per document: rows as those of ``anchors``."""
+    """Runs around repeated anchors, ``places`` per document, and known repeats."""
     period, _ = cover_for(length)
 
     def run(batches):
-        held = Held()
+        held = Held(("d", "t"))
         for part in _texts(batches):
             words = Words(part.column("text"))
             counts = np.diff(words.bounds)
-            d, t = _ids(part)
-            wanted = np.zeros(len(words.hash) + 1, np.int32)
+            around = np.zeros(len(words.hash) + 1, np.int32)
             for i, places in enumerate(part.column("places").to_pylist()):
                 p = np.frombuffer(b"".join(places), "<i4").astype(np.int64)
-                base = words.bounds[i]
-                np.add.at(wanted, base + np.maximum(p - period + 1, 0), 1)
-                np.add.at(wanted, base + p + 1, -1)
-            around = np.cumsum(wanted)[:-1] > 0
+                np.add.at(around, words.bounds[i] + np.maximum(p - period + 1, 0), 1)
+                np.add.at(around, words.bounds[i] + p + 1, -1)
             h, whole = words.grams(length, 1)
-            at = np.flatnonzero(whole & around[: len(h)])
             g, _ = words.grams(length, 2)
+            at = np.flatnonzero(whole & (np.cumsum(around)[: len(h)] > 0))
             owner = np.repeat(np.arange(len(counts)), counts)[at]
-            held.add(h[at], (g[at] >> np.uint64(33)).astype(np.int32), owner, at - words.bounds[:-1][owner], d, t)
+            held.add(h[at], (g[at] >> np.uint64(33)).astype(np.int32), owner, at - words.bounds[:-1][owner], *_ids(part))
             if held.size > HELD:
-                yield from held.flush(runs=True)
-        yield from held.flush(runs=True)
+                yield from held.flush()
+        yield from held.flush()
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(run, RUNS)
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
-    """From sorted rows: those that are not the first of their run; known repeats pass."""
+    """Places of runs that are not the first of their kind; known repeats pass."""
 
     def run(batches):
-        first = None  # h, g, d, t, pos of the first row of the run that was last
+        first = None  # h, g, d, t, pos of the first place of the run that was last
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column("g").is_valid()
-            yield batch.filter(pa.compute.invert(own))
-            batch = batch.filter(own)
+            own = batch.column("pos").to_numpy() >= 0
+            yield batch.filter(pa.array(~own))
+            batch = batch.filter(pa.array(own))
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy() for c in ("h", "g", "d", "t", "pos")]
@@ -234,24 +261,20 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
             later = np.zeros(len(new), bool)
             for c in cols[2:]:
                 later |= c != c[lead]
-            last = int(lead[-1])
-            keep = later[1:] if first is not None else later
-            first = [c[last] for c in cols]
-            yield batch.filter(pa.array(keep))
-
-    return _sorted_by_key(rows).mapInArrow(run, ROWS)
+            yield batch.filter(pa.array(later[1:] if first is not None else later))
+            first = [c[lead[-1]] for c in cols]
 
+    return rows.repartition("h").sortWithinPartitions("h", "g", "d", "t", "pos").mapInArrow(run, RUNS)
 
-def _per_document(rows: DataFrame) -> DataFrame:
-    """(kd, kt, places): places of a document as packed integers; bounded by the document."""
-    return rows.select("d", "t", F.coalesce("known", _little_endian()).alias("p")).groupBy(
-        F.col("d").alias("kd"), F.col("t").alias("kt")).agg(F.collect_list("p").alias("places"))
 
-
-def _little_endian():
-    """A place as four bytes, least first."""
+def _per_document(rows: DataFrame, *least: str) -> DataFrame:
+    """(kd, kt, places, ...) of rows (d, t, pos, known): packed places, bounded by the document,
+    and the least value of other columns."""
     byte = lambda i: F.lpad(F.hex(F.shiftright("pos", 8 * i).bitwiseAND(F.lit(255))), 2, "0")
-    return F.unhex(F.concat(*[byte(i) for i in range(4)]))
+    packed = F.unhex(F.concat(*[byte(i) for i in range(4)]))  # four bytes, least first
+    return rows.select("d", "t", F.coalesce("known", packed).alias("p"), *least).groupBy(
+        F.col("d").alias("kd"), F.col("t").alias("kt")).agg(
+        F.collect_list("p").alias("places"), *[F.min(c).alias(c) for c in least])
 
 
 def kept_words(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -296,15 +319,22 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
         F.col("text").cast("string").alias("text"),
     )
     found = staged(repeated_anchors(anchors(docs, length)), "anchors")
-    heads = found.filter("n_words is not null").select("d", "t", "n_words", "sha")
-    places = staged(_per_document(found.filter("n_words is null")), "anchor_places")
+    heads = found.filter("n_words is not null").select("doc", "d", "t", "n_words", "sha")
+    places = staged(
+        _per_document(found.filter("n_words is null").select("doc", "pos", "known").join(heads.select("doc", "d", "t"), "doc"), "doc"),
+        "anchor_places",
+    )
 
-    def with_places(rows):
-        return docs.join(rows, (F.col("d") == F.col("kd")) & (F.col("t") == F.col("kt"))).select("d", "t", "text", "places")
+    def with_places(rows, t):
+        """Documents with places; ``t`` tells documents of one id apart."""
+        joined = docs.withColumnRenamed("t", "t_").join(rows, (F.col("d") == F.col("kd")) & (F.col("t_") == F.col("kt")))
+        return joined.select("d", F.col(t).alias("t"), "text", "places")
 
-    runs = staged(repeated_runs(candidate_runs(with_places(places), length)), "runs")
-    gone = staged(_per_document(runs), "run_places")
-    changed = kept_words(with_places(gone), length, with_text)
+    # From here the number of a document's first row stands for its hash: it is shorter to send.
+    runs = staged(repeated_runs(candidate_runs(with_places(places, "doc"), length)), "runs")
+    lost = _per_document(runs.select("d", "t", "pos", F.col("x").alias("known"))).select(F.col("kt").alias("doc"), "places")
+    gone = staged(lost.join(places.select("doc", "kd", "kt"), "doc"), "run_places")
+    changed = kept_words(with_places(gone, "kt"), length, with_text)
     same = heads.join(gone.select("kd", "kt"), (F.col("d") == F.col("kd")) & (F.col("t") == F.col("kt")), "left_anti").select(
         "d", "t", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", F.lit(None).cast("string").alias("text"))
     out = changed.select(same.columns).union(same).select(
