@@ -6,15 +6,6 @@ from pyspark.sql import functions as F
 
 from specimen_spark.functions.storage import materialize
 
-# A group above both limits is "hot". At most HOT_SHARE groups can hold more than
-# 1/HOT_SHARE of all rows each, which bounds every broadcast of hot keys.
-HOT_SHARE = 20_000
-HOT_MIN_ROWS = 1_000_000
-# Cut points per hot group; also below Spark's window-group-limit threshold (1000),
-# so picking them is pruned on the map side.
-PIVOTS = 500
-
-
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:
     """The first row of each key in the given order.
 
@@ -26,84 +17,24 @@ def first_per_key(df: DataFrame, keys, order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def with_position(
-    df: DataFrame,
-    group: str,
-    score: str,
-    key: str,
-    out: str = "pos",
-    hot_min_rows: int = HOT_MIN_ROWS,
-    hot_share: int = HOT_SHARE,
-    pivots: int = PIVOTS,
-) -> DataFrame:
+def with_position(df: DataFrame, group: str, score: str, key: str, out: str = "pos") -> DataFrame:
     """Position (from 1) inside each group: ``score`` descending, nulls last, then ``key``.
 
-    One counting job finds the hot groups; usually there are none and a plain window does.
-    A hot group is cut into slices by ``score`` and by pivots of ``key``, so no task ever
-    sorts a whole hot group:
-
-    * pivots are the keys with the lowest hash in the group - they depend on the data only,
-      so a recomputed task after an executor loss finds the same slices;
-    * a row's position = rows in all earlier slices + its row number inside its slice.
-
-    Any choice of pivots gives the exact positions; they only balance the slices.
+    Rows are written once, range-partitioned in this order, so a group of any size is cut into
+    parts whose partition numbers ascend. A row's position is its number inside its part plus the
+    rows of the group's earlier parts; of those only counts meet in one place.
     """
     order = [F.col(score).desc_nulls_last(), F.col(key).asc()]
-    number = F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long")
-
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    seen = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
-    limit = max(hot_min_rows, (seen["total"] or 0) / hot_share)
-    if (seen["largest"] or 0) <= limit:
-        return df.withColumn(out, number)
-
-    df = materialize(df, "groups")  # read several times below
-    # at most `hot_share` keys pass, see above
-    hot = F.broadcast(
-        df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-        .select(group)
-    )
-    cold = df.join(hot, group, "left_anti").withColumn(out, number)
-    hot_rows = df.join(hot, group, "left_semi")
-    return cold.unionByName(
-        _position_in_slices(hot_rows, group, score, key, out, pivots).select(*cold.columns)
-    )
-
-
-def _position_in_slices(hot_rows, group, score, key, out, pivots) -> DataFrame:
-    keys = hot_rows.select(group, key).withColumn("_h", F.xxhash64(key))
-    picked = (
-        keys.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy("_h", key)))
-        .filter(F.col("_rn") <= pivots)
-        .groupBy(group)
-        .agg(F.array_sort(F.collect_set(key)).alias("_pivots"))  # <= pivots values per group
-    )
-    sliced = hot_rows.join(F.broadcast(picked), group).withColumn(
-        "_slice", F.size(F.filter("_pivots", lambda p: p <= F.col(key)))
-    ).drop("_pivots")
-
-    # one row per (group, score, slice): small, so an ordinary window adds up the offsets
-    before = W.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), "_slice").rowsBetween(
-        W.unboundedPreceding, -1
-    )
-    offsets = (
-        sliced.groupBy(group, score, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(
-            F.col(group).alias("_g"), F.col(score).alias("_s"), F.col("_slice").alias("_k"),
-            "_before",
-        )
+    spread = df.repartitionByRange(F.col(group).asc(), *order).withColumn("_part", F.spark_partition_id())
+    rows = materialize(spread, "positions")
+    before = W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        .select("_g", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    inside = W.partitionBy(group, score, "_slice").orderBy(F.col(key).asc())
-    numbered = sliced.withColumn("_in", F.row_number().over(inside))
+    numbered = rows.withColumn("_in", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)))
     return (
-        numbered.join(
-            offsets,
-            F.col(group).eqNullSafe(F.col("_g"))
-            & F.col(score).eqNullSafe(F.col("_s"))
-            & (F.col("_slice") == F.col("_k")),
-        )
+        numbered.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
         .withColumn(out, (F.col("_before") + F.col("_in")).cast("long"))
-        .drop("_g", "_s", "_k", "_before", "_in", "_slice")
+        .drop("_part", "_g", "_p", "_before", "_in")
     )

@@ -93,9 +93,9 @@ def group_by_shared_bin(df: DataFrame) -> DataFrame:
     )
 
 
-def group_order(groups: DataFrame, **limits) -> DataFrame:
+def group_order(groups: DataFrame) -> DataFrame:
     """Adds ``pos``: score descending inside each group, ties by ``processid``."""
-    return with_position(groups, "group_key", "quality_score", "processid", **limits)
+    return with_position(groups, "group_key", "quality_score", "processid")
 
 
 def group_info(groups: DataFrame, grade: str) -> DataFrame:
