@@ -40,6 +40,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identity(spark: SparkSession, path: str) -> str:
+    """Names the state of a file or folder: path, length and time of each file."""
+    fs, target = file_system(spark, path)
+    status = fs.getFileStatus(target)
+    found = fs.listStatus(target) if status.isDirectory() else [status]
+    return "\n".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in found))
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path for it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, none if it is missing."""
+    fs, target = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = file_system(spark, path)
+    return bool(fs.exists(target))
+
+
 _LOCK = threading.RLock()  # a build may ask for another written table
 
 
@@ -47,7 +77,8 @@ def written_once(spark: SparkSession, name: str, source: str, build) -> DataFram
     """A derived table, written on first use and read after that.
 
     Kept below the shared folder per application and source, so every query of an
-    application scans the same columnar table instead of deriving it again. ``build`` gives
+    application scans the same columnar table instead of deriving it again. ``source`` names
+    the state of the input (see ``identity``): changed tables are derived anew. ``build`` gives
     the frame. Only a completely written table (with its success marker) is reused.
     """
     mark = hashlib.sha256(source.encode()).hexdigest()[:16]
@@ -65,6 +96,4 @@ _WRITTEN_SCHEMAS = {}
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(target))
+    return exists(spark, path + "/_SUCCESS")

@@ -1,21 +1,23 @@
 """Saved sessions as tables.
 
-Layout: ``root/sessions/session_id=<id>`` holds the metadata row, ``root/tables/<key>/
-session_id=<id>`` one dataset per key. A save overwrites its own partitions only, so it is
-an upsert; reading a session is partition-pruned.
+Layout: ``root/tables/session_id=<id>/version=<v>/<key>`` holds one dataset per key of a save,
+``root/sessions/session_id=<id>`` a metadata row per save that names its version. The row is
+appended after all tables of its version are complete, so a save that fails leaves the earlier one
+readable, and a session may be saved from its own loaded tables. The version before the
+current one stays, for frames that still read it; older ones are deleted.
 """
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specimen_spark.functions.storage import children, delete, exists
 from specimen_spark.functions.text import count_distinct_null_as_value, trimws
 from specimen_spark.functions.windows import first_per_key
 
-DATA_KEYS = [
-    "specimen_data", "bags_grades", "bin_analysis", "selected_specimens", "specimen_flags",
-    "specimen_curator_notes", "specimen_updated_ids",
-]
 META_SCHEMA = T.StructType(
     [
         T.StructField("created_at", T.StringType()),
@@ -34,68 +36,74 @@ LIST_COLUMNS = [
 ]
 
 
-def _path(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _path(spark, path)
-    return bool(fs.exists(target))
+VERSION = T.StructField("version", T.StringType())
 
 
 def save_session(root: str, session_id: str, tables: dict, meta: dict, now: str, spark=None) -> None:
-    """Write every non-null table of the session, then its metadata row.
+    """Write every non-null table of the session as a new version, then its metadata row.
 
     ``created_at`` of an earlier save is kept. Counts are taken from ``specimen_data``;
-    null counts as one species.
+    null counts as one species. ``search_taxa`` may be text or a list, which is kept as JSON.
     """
     if "/" in session_id or not session_id:
         raise ValueError("session_id must be non-empty and without '/'")
     present = {k: df for k, df in tables.items() if df is not None}
     spark = spark or SparkSession.getActiveSession()
-    home = f"{root}/sessions/session_id={session_id}"
-    created = now
-    if _exists(spark, home):
-        earlier = spark.read.schema(META_SCHEMA).parquet(home).select("created_at").first()
-        created = earlier["created_at"] if earlier else now
+    earlier = _versions(spark, root).filter(F.col("session_id") == session_id).agg(F.min("created_at")).first()[0]
+    version, home = f"{time.time_ns():020d}", f"{root}/tables/session_id={session_id}"
     for key, df in present.items():
-        df.write.mode("overwrite").parquet(f"{root}/tables/{key}/session_id={session_id}")
+        df.write.parquet(f"{home}/version={version}/{key}")
     records = species = 0
     if "specimen_data" in present:
-        counted = spark.read.parquet(
-            f"{root}/tables/specimen_data/session_id={session_id}"
-        ).agg(
+        counted = spark.read.parquet(f"{home}/version={version}/specimen_data").agg(
             F.count(F.lit(1)).alias("n"),
             count_distinct_null_as_value("species").cast("long").alias("species"),
         ).first()
         records, species = counted["n"], counted["species"]
+    taxa = meta.get("search_taxa", "")
     row = (
-        created, now, meta.get("email", ""), meta.get("name", ""), meta.get("orcid", ""),
-        records, species, meta.get("search_taxa", ""),
+        earlier or now, now, meta.get("email", ""), meta.get("name", ""), meta.get("orcid", ""),
+        records, species, taxa if isinstance(taxa, str) else json.dumps(taxa), version,
     )
-    spark.createDataFrame([row], META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(home)
+    schema = T.StructType([*META_SCHEMA.fields, VERSION])
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{root}/sessions/session_id={session_id}")
+    for old in children(spark, home)[:-2]:
+        delete(spark, f"{home}/{old}")
 
 
-def read_sessions(spark: SparkSession, root: str) -> DataFrame:
-    if not _exists(spark, f"{root}/sessions"):
-        return spark.createDataFrame(
-            [], T.StructType([T.StructField("session_id", T.StringType())] + META_SCHEMA.fields)
-        )
-    schema = T.StructType(META_SCHEMA.fields + [T.StructField("session_id", T.StringType())])
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    """A row per save that was completed."""
+    schema = T.StructType([*META_SCHEMA.fields, VERSION, T.StructField("session_id", T.StringType())])
+    if not exists(spark, f"{root}/sessions"):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/sessions")
 
 
+def _latest(spark: SparkSession, root: str) -> DataFrame:
+    return first_per_key(_versions(spark, root), "session_id", [F.col("version").desc()])
+
+
+def read_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """The latest save of every session."""
+    return _latest(spark, root).drop("version")
+
+
 def load_session(spark: SparkSession, root: str, session_id: str) -> dict | None:
-    """The saved tables by key and a one-row ``metadata`` frame; None for an unknown id."""
-    if not session_id or not _exists(spark, f"{root}/sessions/session_id={session_id}"):
+    """The saved tables by key, a one-row ``metadata`` frame and, if saved, the list
+    ``search_taxa``; None for an unknown id."""
+    if not session_id or not exists(spark, f"{root}/sessions/session_id={session_id}"):
         return None
-    meta = read_sessions(spark, root).filter(F.col("session_id") == session_id)
-    state = {"metadata": meta}
-    for key in DATA_KEYS:
-        path = f"{root}/tables/{key}/session_id={session_id}"
-        if _exists(spark, path):
-            state[key] = spark.read.parquet(path)
+    latest = _latest(spark, root).filter(F.col("session_id") == session_id)
+    row = latest.first()
+    state = {"metadata": latest.drop("version")}
+    home = f"{root}/tables/session_id={session_id}/version={row['version']}"
+    for key in children(spark, home):
+        state[key] = spark.read.parquet(f"{home}/{key}")
+    if row["search_taxa"]:
+        try:
+            state["search_taxa"] = json.loads(row["search_taxa"])
+        except ValueError:  # plain text: one name
+            state["search_taxa"] = [row["search_taxa"]]
     return state
 
 
@@ -146,17 +154,13 @@ def expired_sessions(sessions: DataFrame, now: str, max_age_days: int = 30) -> D
 def expire_sessions(spark: SparkSession, root: str, now: str, max_age_days: int = 30) -> int:
     """Delete expired sessions and their tables; returns how many.
 
-    Only ids come to the driver, a partition at a time; data goes by directory.
+    Only ids come to the driver, a partition at a time; a session goes with two folders. Its
+    metadata goes first, so that no listed session lacks its tables.
     """
-    fs, tables = _path(spark, f"{root}/tables")
-    keys = [s.getPath().getName() for s in fs.listStatus(tables)] if fs.exists(tables) else []
     old = expired_sessions(read_sessions(spark, root), now, max_age_days).select("session_id")
     removed = 0
     for row in old.toLocalIterator():
-        part = f"session_id={row['session_id']}"
-        for path in [f"{root}/tables/{k}/{part}" for k in keys] + [f"{root}/sessions/{part}"]:
-            target = _path(spark, path)[1]
-            if fs.exists(target):
-                fs.delete(target, True)
+        for part in ("sessions", "tables"):
+            delete(spark, f"{root}/{part}/session_id={row['session_id']}")
         removed += 1
     return removed

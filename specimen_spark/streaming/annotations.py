@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from specimen_spark.functions.storage import children, delete
 from specimen_spark.functions.windows import first_per_key
 from specimen_spark.operators.annotate import drop_cleared, flatten_edits
 
 KEYS = ["processid", "kind"]
+# Micro-batches after which the change log is merged.
+COMPACT = 100
 
 
 def latest_edits(events: DataFrame) -> DataFrame:
@@ -28,10 +31,21 @@ def stream_annot_fold(
     """Keep a change log of newest edits below ``path``; read it with ``read_folded``.
 
     Every micro-batch writes the keys it changed to a directory of its own. Writing a batch
-    again after a failure replaces that directory, so each batch counts once.
+    again after a failure replaces that directory, so each batch counts once. Every
+    ``COMPACT``-th batch the log so far is merged into that batch's directory; older ones go
+    after it is complete. Readers take the newest edit of a key, so a merge that a failure cuts
+    short only leaves rows twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        target = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+        if batch_id % COMPACT == COMPACT - 1:
+            old = [c for c in children(spark, path) if "=" in c]
+            merged = newest(read_log(spark, path))
+            merged.write.mode("overwrite").parquet(f"{path}/merged={batch_id}")
+            for name in old:
+                delete(spark, f"{path}/{name}")
 
     return (
         latest_edits(events).writeStream.outputMode("update")
@@ -42,28 +56,36 @@ def stream_annot_fold(
     )
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the log, whatever directories hold them."""
+    return spark.read.parquet(*[f"{path}/{c}" for c in children(spark, path) if "=" in c])
+
+
 def newest(log: DataFrame) -> DataFrame:
     return first_per_key(log, KEYS, [F.col("ts").desc(), F.col("event_id").desc()])
 
 
 def read_folded(spark: SparkSession, path: str) -> DataFrame:
     """Current state from the change log: newest edit per key, cleared ones left out."""
-    return drop_cleared(newest(spark.read.parquet(path))).select(*KEYS, "value", "user", "ts")
+    return drop_cleared(newest(read_log(spark, path))).select(*KEYS, "value", "user", "ts")
 
 
 def stream_snapshot(
     events: DataFrame, path: str, checkpoint: str, interval: str = "60 seconds",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Persist the annotation state once per interval, only when there is something to save.
+    """Persist the annotation state once per interval in which there were edits.
 
-    A batch without edits writes nothing. Each snapshot holds the whole current state and
-    goes to ``path/snapshot=<batch>``; the newest is the state to resume from.
+    Each snapshot holds the whole current state, cleared values included, and goes to
+    ``path/snapshot=<batch>``; the newest is the state to resume from. Only it and the one
+    before it are kept.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        state = drop_cleared(batch)
-        if not state.isEmpty():
-            state.write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+        numbers = sorted(int(c.partition("=")[2]) for c in children(spark, path) if c.startswith("snapshot="))
+        for old in numbers[:-2]:
+            delete(spark, f"{path}/snapshot={old}")
 
     return (
         latest_edits(events).writeStream.outputMode("complete")
@@ -78,4 +100,4 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot; partition pruning reads that directory only."""
     log = spark.read.parquet(path)
     last = log.agg(F.max("snapshot")).first()[0]
-    return log.filter(F.col("snapshot") == last).select(*KEYS, "value", "user", "ts")
+    return drop_cleared(log.filter(F.col("snapshot") == last)).select(*KEYS, "value", "user", "ts")

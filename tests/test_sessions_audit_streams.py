@@ -30,7 +30,28 @@ def test_session_round_trip(spark, tmp_path):
     assert sessions.expire_sessions(spark, root, "2024-03-15T00:00:00", 30) == 1
     assert sessions.load_session(spark, root, "s1") is None
     assert values(sessions.read_sessions(spark, root), "session_id") == ["s2"]
-    assert not (tmp_path / "tables" / "specimen_data" / "session_id=s1").exists()
+    assert not (tmp_path / "tables" / "session_id=s1").exists()
+
+
+def test_a_session_is_saved_from_its_own_tables(spark, tmp_path):
+    root = str(tmp_path)
+    df = full_specimens(spark, {}, {"species": None}, {}).select("processid", "species")
+    who = {**WHO, "search_taxa": ["Aus bus", "Cus"]}
+    sessions.save_session(root, "s1", {"specimen_data": df}, who, "2024-01-01T00:00:00", spark)
+    for n in (2, 1, 0):
+        state = sessions.load_session(spark, root, "s1")
+        assert state["search_taxa"] == ["Aus bus", "Cus"]
+        kept = state["specimen_data"].limit(n)
+        sessions.save_session(root, "s1", {"specimen_data": kept}, who, f"2024-02-0{3 - n}T00:00:00", spark)
+        assert sessions.load_session(spark, root, "s1")["specimen_data"].count() == n
+    bad = df.withColumn("species", F.raise_error(F.lit("no")))
+    try:
+        sessions.save_session(root, "s1", {"bags_grades": df, "specimen_data": bad}, who, "2024-03-01T00:00:00", spark)
+        raise AssertionError("the save must fail")
+    except Exception as error:
+        assert "no" in str(error)
+    assert set(sessions.load_session(spark, root, "s1")) == {"metadata", "specimen_data", "search_taxa"}
+    assert one(sessions.read_sessions(spark, root))["updated_at"] == "2024-02-03T00:00:00"
 
 
 def test_filter_by_user(spark):
@@ -99,12 +120,25 @@ def test_snapshot(spark, tmp_path):
     assert _state(stream.read_snapshot(spark, str(tmp_path / "out"))) == want
 
 
-def test_snapshot_skips_empty_state(spark, tmp_path):
-    cleared = [(1, dt.datetime(2024, 1, 1), "P1", "flag", "", "u")]
-    spark.createDataFrame(cleared, EDIT_SCHEMA).write.parquet(str(tmp_path / "in"))
+def test_snapshot_of_cleared_state_is_empty(spark, tmp_path):
+    set_ = [(0, dt.datetime(2023, 1, 1), "P1", "flag", "data_issue", "u")]
+    spark.createDataFrame(set_, EDIT_SCHEMA).write.parquet(str(tmp_path / "in"))
     events = spark.readStream.schema(EDIT_SCHEMA).parquet(str(tmp_path / "in"))
     stream.stream_snapshot(events, str(tmp_path / "out"), str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
-    assert not (tmp_path / "out").exists()
+    assert _state(stream.read_snapshot(spark, str(tmp_path / "out"))) == {("P1", "flag"): "data_issue"}
+    cleared = [(1, dt.datetime(2024, 1, 1), "P1", "flag", "", "u")]
+    spark.createDataFrame(cleared, EDIT_SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.stream_snapshot(events, str(tmp_path / "out"), str(tmp_path / "cp"), trigger=ONCE).awaitTermination()
+    assert stream.read_snapshot(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_log_is_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "COMPACT", 2)
+    events = _edit_batches(spark, tmp_path)
+    stream.stream_annot_fold(events, str(tmp_path / "out"), str(tmp_path / "cp"), ONCE).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").glob("*=*")) == ["batch=2", "merged=1"]
+    want = _state(annotate.annot_fold(spark.createDataFrame(EDITS, EDIT_SCHEMA)))
+    assert _state(stream.read_folded(spark, str(tmp_path / "out"))) == want
 
 
 def test_stream_score_equals_batch(spark, tmp_path):
