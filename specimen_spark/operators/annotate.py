@@ -94,10 +94,10 @@ def annot_fold(events: DataFrame) -> DataFrame:
 
 
 def _wide(annotations: DataFrame) -> DataFrame:
-    """One row per specimen: a struct (value, user, ts) per kind. Each key has at most one
-    row per kind, so the aggregation only gathers up to four rows."""
+    """One row per specimen: a struct (ts, value, user) per kind; of several rows of a kind the
+    latest counts."""
     flat = normalize_annotations(annotations)
-    entry = F.struct("value", "user", "ts")
+    entry = F.struct("ts", "value", "user")
     return (
         flat.filter(F.col("kind").isin(KINDS))
         .groupBy("processid")
@@ -171,15 +171,15 @@ def annot_validate(annotations: DataFrame, df: DataFrame) -> DataFrame:
     rowwise = flat.select(
         "processid", "kind",
         F.when((F.col("kind") == "flag") & not_blank("value") & ~F.col("value").isin(flags),
-               "Invalid flag values detected")
+               "unknown flag")
         .when((F.col("kind") == "curator_notes") & (F.length("value") > rules.MAX_NOTE_LENGTH),
-              "Invalid curator note format or length")
+              "note is too long")
         .alias("problem"),
     ).filter(F.col("problem").isNotNull())
-    known = df.select("processid").distinct()
+    known = df.select("processid")
     unknown = (
         flat.filter("kind = 'selected'").join(known, "processid", "left_anti")
-        .select("processid", "kind", F.lit("Invalid specimen IDs in selection").alias("problem"))
+        .select("processid", "kind", F.lit("selected specimen is not in the table").alias("problem"))
     )
     return rowwise.unionByName(unknown)
 

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HISTORY_LIMIT = 100
 MEGABYTE = 1024 * 1024
 
 
@@ -26,9 +25,9 @@ def _exports(audit: DataFrame, from_date, to_date) -> DataFrame:
 
 def export_history(
     audit: DataFrame, from_date=None, to_date=None, export_type=None, format=None,
-    limit: int | None = HISTORY_LIMIT, tie: str | None = None,
+    limit: int | None = None, tie: str | None = None,
 ) -> DataFrame:
-    """Exports in a date range, newest first; the limit is the report's page."""
+    """Exports in a date range, newest first; ``limit`` cuts a report's page from them."""
     rows = _exports(audit, from_date, to_date)
     if export_type not in (None, "All"):
         rows = rows.filter(F.col("export_type") == export_type)

@@ -30,7 +30,7 @@ def add_provenance(df: DataFrame, source: str = SOURCE_TAG) -> DataFrame:
     return df.withColumns({"data_source": F.lit(source), "import_date": F.current_timestamp()})
 
 
-def process_import(df: DataFrame, tie=("rec_key",), provenance: bool = True) -> DataFrame:
+def process_import(df: DataFrame, tie=None, provenance: bool = True) -> DataFrame:
     """Clean names, BINs and countries, add provenance, one row per ``processid``.
 
     Cleaning is row-wise, so it runs after the deduplication and touches fewer rows.

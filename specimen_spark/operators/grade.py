@@ -94,19 +94,19 @@ def check_grades(grades: DataFrame) -> DataFrame:
     """(valid, message): columns present, grades in A-E, no negative counts, not empty."""
     missing = [c for c in GRADE_COLUMNS if c not in grades.columns]
     has = grades.columns
-    problems = [F.when(F.lit(bool(missing)), "Missing required columns: " + ", ".join(missing))]
+    problems = [F.when(F.lit(bool(missing)), "absent columns: " + ", ".join(missing))]
     aggs = [F.count(F.lit(1)).alias("n")]
     if "bags_grade" in has:
         outside = ~F.coalesce(F.col("bags_grade").isin(rules.GRADES), F.lit(False))
         aggs.append(F.count_if(outside).alias("bad_grade"))
-        problems.append(F.when(F.col("bad_grade") > 0, "Invalid grade values detected"))
+        problems.append(F.when(F.col("bad_grade") > 0, "a grade is not one of A to E"))
     for name, label in (("specimen_count", "specimen"), ("bin_count", "BIN")):
         if name in has:
             aggs.append(F.count_if(F.col(name) < 0).alias("bad_" + name))
             problems.append(
-                F.when(F.col("bad_" + name) > 0, f"Negative {label} counts detected")
+                F.when(F.col("bad_" + name) > 0, f"a {label} count is below 0")
             )
-    message = F.when(F.col("n") == 0, "Empty grades data frame").otherwise(
+    message = F.when(F.col("n") == 0, "there are no grades").otherwise(
         F.concat_ws("; ", *problems)
     )
     return grades.agg(*aggs).select((message == "").alias("valid"), message.alias("message"))

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from specimen_spark.functions.windows import first_per_key
 
@@ -17,12 +18,24 @@ def merge_first_wins(existing: DataFrame | None, new: DataFrame | None, key: str
         return new
     if new is None:
         return existing
-    held = existing.select(F.col(key).alias("_held")).distinct()
+    held = existing.select(F.col(key).alias("_held"))
     fresh = new.join(held, new[key].eqNullSafe(held["_held"]), "left_anti")
     return existing.unionByName(fresh)
 
 
-def merge_sources(sources, key: str = "processid", tie=("rec_key",)) -> DataFrame:
+def tie_order(df: DataFrame, tie) -> list:
+    """Order among rows of one key: the tie columns, by default ``record_id``, then all other
+    sortable columns, so that any frame has one answer."""
+    first = [c for c in (tie or ["record_id"]) if c in df.columns]
+    if tie and len(first) < len(tie):
+        raise ValueError(f"no tie column {set(tie) - set(first)}")
+    rest = [] if tie else [
+        f.name for f in df.schema.fields if f.name not in first and not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+    return [F.col(f"`{c}`") for c in (*first, *rest)]
+
+
+def merge_sources(sources, key: str = "processid", tie=None) -> DataFrame:
     """Ordered union of sources, the first source that holds a key wins.
 
     One union and one window replace a chain of anti-joins: a single shuffle on the key.
@@ -31,10 +44,10 @@ def merge_sources(sources, key: str = "processid", tie=("rec_key",)) -> DataFram
     if not tagged:
         raise ValueError("No sources to merge")
     union = reduce(DataFrame.unionByName, tagged)
-    return first_per_key(union, key, [F.col("_source"), *[F.col(t) for t in tie]]).drop("_source")
+    return first_per_key(union, key, [F.col("_source"), *tie_order(union, tie)]).drop("_source")
 
 
-def dedupe_processid(df: DataFrame, tie=("rec_key",)) -> DataFrame:
+def dedupe_processid(df: DataFrame, tie=None) -> DataFrame:
     """One row per ``processid``: the lowest tie key. Row order has no meaning in Spark, so
-    the tie key is explicit and must be unique inside a ``processid``."""
-    return first_per_key(df, "processid", [F.col(t) for t in tie])
+    given tie columns must be unique inside a ``processid``; without any, see ``tie_order``."""
+    return first_per_key(df, "processid", tie_order(df, tie))

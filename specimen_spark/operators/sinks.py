@@ -141,7 +141,7 @@ def write_bundle(tables: dict, path: str, format: str = "parquet") -> DataFrame:
     """
     present = {n: df for n, df in tables.items() if df is not None}
     if not present:
-        raise ValueError("No data to export")
+        raise ValueError("all tables of the bundle are absent")
     rows, spark = [], None
     for name, df in present.items():
         spark, seen = df.sparkSession, Observation()

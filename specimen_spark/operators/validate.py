@@ -40,7 +40,7 @@ def _verdict(df: DataFrame, valid: bool, message: str) -> DataFrame:
 
 def _missing_message(df: DataFrame) -> str | None:
     missing = schema.missing_columns(df)
-    return "Missing required columns: " + ", ".join(missing) if missing else None
+    return "absent columns: " + ", ".join(missing) if missing else None
 
 
 def check_required(df: DataFrame) -> DataFrame:
@@ -51,8 +51,8 @@ def check_required(df: DataFrame) -> DataFrame:
     counted = df.agg(F.count(F.lit(1)).alias("n"), F.count("bin_uri").alias("bins"))
     return counted.select(
         ((F.col("n") > 0) & (F.col("bins") > 0)).alias("valid"),
-        F.when(F.col("n") == 0, "No specimen data available")
-        .when(F.col("bins") == 0, "No BIN data available for analysis")
+        F.when(F.col("n") == 0, "the table has no rows")
+        .when(F.col("bins") == 0, "no row has a BIN")
         .otherwise("")
         .alias("message"),
     )
@@ -68,8 +68,8 @@ def check_results(df: DataFrame) -> DataFrame:
     )
     return counted.select(
         ((F.col("n") > 0) & (F.col("blank") == 0)).alias("valid"),
-        F.when(F.col("n") == 0, "No results found")
-        .when(F.col("blank") > 0, F.format_string("%d records missing processid", F.col("blank")))
+        F.when(F.col("n") == 0, "nothing was retrieved")
+        .when(F.col("blank") > 0, F.format_string("%d rows have no processid", F.col("blank")))
         .otherwise("")
         .alias("message"),
     )
@@ -91,19 +91,17 @@ def validate_search_terms(terms: DataFrame, countries: DataFrame) -> DataFrame:
     taxon, kind = F.col("kind") == "taxon", F.col("kind")
     bad = (
         F.when(taxon & matches("term", rules.TAXON_BAD_CHARS),
-               "Taxa names contain invalid characters. Please use only letters, numbers, "
-               "spaces, hyphens, underscores, and periods.")
+               "a taxon name may hold letters, digits, spaces, hyphens, underscores and periods only")
         .when((kind == "dataset") & ~matches("term", rules.DATASET_CODE),
-              "Invalid dataset code format. Codes should be in the format DS-XXXX.")
+              "a dataset code starts with DS-")
         .when((kind == "project") & matches("term", rules.PROJECT_BAD_CHARS),
-              "Project codes contain invalid characters. Please use only letters, numbers, "
-              "hyphens, and underscores.")
+              "a project code may hold letters, digits, hyphens and underscores only")
     )
     warning = (
         F.when(taxon & (F.length("term") > rules.MAX_TAXON_LENGTH),
-               "Warning: Some taxa names are unusually long. Please verify accuracy.")
+               "check this taxon name: it is long")
         .when((kind == "country") & F.col("_known").isNull(),
-              F.concat(F.lit("Warning: Unrecognized countries: "), F.col("term")))
+              F.concat(F.lit("unknown country: "), F.col("term")))
     )
     return t.select(
         "kind", "term", bad.isNull().alias("valid"), F.concat_ws("; ", bad, warning).alias("message")

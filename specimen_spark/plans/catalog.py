@@ -31,17 +31,20 @@ def query(name):
 # --- inputs --------------------------------------------------------------------------------
 
 
+TIE = ("rec_key",)  # made by the fixture, unique among the rows of a specimen
+
+
 def raw(s, d):
     return fx.specimens(s, d)
 
 
 def imported(s, d):
-    return clean.process_import(raw(s, d), provenance=False)
+    return clean.process_import(raw(s, d), TIE, provenance=False)
 
 
 def scored(s, d):
     """The scored specimens, written once as a table: what a curator's session holds."""
-    return written_once(s, "scored", d, lambda: score.process_specimens(imported(s, d)))
+    return written_once(s, "scored", fx.source(s, d), lambda: score.process_specimens(imported(s, d)))
 
 
 def annotations(s, d):
@@ -240,7 +243,8 @@ def _(s, d):
             retrieval.by_datasets(universe, DATASETS),
             retrieval.by_projects(universe, project_codes(s, d)),
             retrieval.by_taxa(universe, taxon_names(s, d)),
-        ]
+        ],
+        tie=TIE,
     )
 
 
@@ -248,13 +252,13 @@ def _(s, d):
 def _(s, d):
     return curation.retrieve(
         raw(s, d), DATASETS, project_codes(s, d), taxon_names(s, d),
-        _region(s, d, "EUROPE", "ASIA"),
+        _region(s, d, "EUROPE", "ASIA"), tie=TIE,
     ).drop("import_date")
 
 
 @query("dedupe_processid")
 def _(s, d):
-    return merge.dedupe_processid(raw(s, d))
+    return merge.dedupe_processid(raw(s, d), TIE)
 
 
 @query("clean_species")
@@ -279,7 +283,7 @@ def _(s, d):
 
 @query("process_import")
 def _(s, d):
-    return clean.process_import(raw(s, d)).drop("import_date").orderBy("processid")
+    return clean.process_import(raw(s, d), TIE).drop("import_date").orderBy("processid")
 
 
 @query("validate_flags")
@@ -451,7 +455,7 @@ def _(s, d):
 
 @query("filtered_metrics")
 def _(s, d):
-    unclean = score.process_specimens(merge.dedupe_processid(raw(s, d)))
+    unclean = score.process_specimens(merge.dedupe_processid(raw(s, d), TIE))
     return filters.filtered_metrics(filters.filter_min_score(unclean, 5))
 
 
@@ -842,7 +846,7 @@ def _text_time(df):
 def _(s, d):
     return _text_time(
         audit.export_history(
-            fx.audit_rows(s, d), "1996-03-01", "1999-10-31", "tsv", "tsv", tie="event_id"
+            fx.audit_rows(s, d), "1996-03-01", "1999-10-31", "tsv", "tsv", limit=100, tie="event_id"
         )
     )
 

@@ -15,7 +15,7 @@ def retrieve(
     projects=None,
     taxa: DataFrame | None = None,
     countries: DataFrame | None = None,
-    tie=("rec_key",),
+    tie=None,
     delimiter: str = ",",
 ) -> DataFrame:
     """Datasets, projects, taxa (first source wins) -> geography -> BIN expansion -> import.
@@ -29,7 +29,7 @@ def retrieve(
 
 
 def retrieve_seed(
-    universe, datasets=None, projects=None, taxa=None, countries=None, tie=("rec_key",),
+    universe, datasets=None, projects=None, taxa=None, countries=None, tie=None,
     delimiter=",",
 ) -> DataFrame:
     """The records before expansion."""

@@ -7,7 +7,7 @@ the check SQL reads the same rows. All rows of the source tables are used.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.functions.storage import written_once
+from specimen_spark.functions.storage import identity, written_once
 
 SPECIMEN_SOURCE = (
     "lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey "
@@ -156,24 +156,15 @@ AUDIT = [
 
 
 _SCHEMAS = {}
-# Below this size a table may be one file with one row group, that is one task.
-SMALL_INPUT = 1 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. Its footers are read for the schema once, not once per query."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
-
-
-def spread_small(df: DataFrame, *keys) -> DataFrame:
-    """Spread a small table over the cores; a large one has enough input splits already."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    mark = identity(spark, path)
+    if mark not in _SCHEMAS:
+        _SCHEMAS[mark] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[mark]).parquet(path)
 
 
 def _with(df: DataFrame, pairs) -> DataFrame:
@@ -197,11 +188,18 @@ def specimens_from(lineitem, part, supplier, nation) -> DataFrame:
 
 def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The specimen universe: all lines of the driver tables, written once as a table."""
-    return written_once(spark, "specimens", sf_dir, lambda: derive_specimens(spark, sf_dir))
+    return written_once(spark, "specimens", source(spark, sf_dir), lambda: derive_specimens(spark, sf_dir))
+
+
+def source(spark: SparkSession, sf_dir: str) -> str:
+    """Names the state of the tables specimens are derived from."""
+    tables = ("lineitem", "part", "supplier", "nation")
+    return "\n".join(identity(spark, f"{sf_dir}/{t}.parquet") for t in tables)
 
 
 def derive_specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    """Wide rows of one narrow table: dealt out anew, as a file may hold few row groups."""
+    lineitem = table(spark, sf_dir, "lineitem").repartition("l_orderkey", "l_linenumber")
     return specimens_from(
         lineitem, *[table(spark, sf_dir, t) for t in ("part", "supplier", "nation")]
     )

@@ -289,12 +289,10 @@ def _tsv_annotated():
     return f"SELECT {', '.join(parts)} FROM export WHERE processid IN (SELECT processid FROM touched)"
 
 
-_TERM_MSG_TAXON = ("Taxa names contain invalid characters. Please use only letters, numbers, spaces, "
-                   "hyphens, underscores, and periods.")
-_TERM_MSG_DATASET = "Invalid dataset code format. Codes should be in the format DS-XXXX."
-_TERM_MSG_PROJECT = ("Project codes contain invalid characters. Please use only letters, numbers, "
-                     "hyphens, and underscores.")
-_TERM_LONG = "Warning: Some taxa names are unusually long. Please verify accuracy."
+_TERM_MSG_TAXON = ("a taxon name may hold letters, digits, spaces, hyphens, underscores and periods only")
+_TERM_MSG_DATASET = "a dataset code starts with DS-"
+_TERM_MSG_PROJECT = ("a project code may hold letters, digits, hyphens and underscores only")
+_TERM_LONG = "check this taxon name: it is long"
 _TERMS = (
     "SELECT 'taxon' AS kind, concat(' ', p_name, case when p_size > 40 then '#' when p_size > 30 then repeat(' abcdefghij', 10) else '' end) AS term FROM part "
     "UNION ALL SELECT 'dataset', case when p_size > 25 then concat('DS-', upper(replace(p_brand,'#',''))) else p_brand end FROM part "
@@ -309,7 +307,7 @@ SELECT kind, term, bad IS NULL AS valid, concat_ws('; ', bad, warning) AS messag
          WHEN kind = 'dataset' AND NOT regexp_matches(term, '^DS-[A-Z0-9]+$') THEN '{_TERM_MSG_DATASET}'
          WHEN kind = 'project' AND regexp_matches(term, '[^A-Za-z0-9_-]') THEN '{_TERM_MSG_PROJECT}' END AS bad,
     CASE WHEN kind = 'taxon' AND length(term) > 100 THEN '{_TERM_LONG}'
-         WHEN kind = 'country' AND term NOT IN (SELECT country FROM geo) THEN concat('Warning: Unrecognized countries: ', term) END AS warning
+         WHEN kind = 'country' AND term NOT IN (SELECT country FROM geo) THEN concat('unknown country: ', term) END AS warning
   FROM (SELECT kind, trim(term) AS term FROM ({_TERMS})) WHERE term <> '')
 """
 
@@ -350,8 +348,8 @@ _SQL = {
     "validate_counts": f"SELECT count(*) AS total, count_if(valid_species) AS valid_species, count_if(species_id) AS species_id, count_if(valid_bin) AS valid_bin FROM (SELECT {_FLAGS} FROM raw)",
     "filter_bin_valid": "SELECT processid, rec_key, bin_uri FROM raw WHERE bin_uri <> ''",
     "filter_species_id": "SELECT processid, rec_key, species FROM raw WHERE species <> ''",
-    "check_required": "SELECT count(bin_uri) > 0 AS valid, CASE WHEN count(*) = 0 THEN 'No specimen data available' WHEN count(bin_uri) = 0 THEN 'No BIN data available for analysis' ELSE '' END AS message FROM imported",
-    "check_results": "SELECT count(*) > 0 AND blank = 0 AS valid, CASE WHEN count(*) = 0 THEN 'No results found' WHEN blank > 0 THEN concat(cast(blank as string), ' records missing processid') ELSE '' END AS message "
+    "check_required": "SELECT count(bin_uri) > 0 AS valid, CASE WHEN count(*) = 0 THEN 'the table has no rows' WHEN count(bin_uri) = 0 THEN 'no row has a BIN' ELSE '' END AS message FROM imported",
+    "check_results": "SELECT count(*) > 0 AND blank = 0 AS valid, CASE WHEN count(*) = 0 THEN 'nothing was retrieved' WHEN blank > 0 THEN concat(cast(blank as string), ' rows have no processid') ELSE '' END AS message "
     "FROM raw, (SELECT count_if(coalesce(voucher_type,'') = '') AS blank FROM raw) GROUP BY blank",
     "validate_search_terms": _TERM_CHECK,
     "geo_countries": "SELECT country FROM geo WHERE continent IN ('EUROPE','AFRICA') UNION SELECT 'NATION_3' UNION SELECT 'Atlantis'",
@@ -384,7 +382,7 @@ _SQL = {
     "grade_rule": "SELECT l_partkey, l_returnflag, " + _GRADE.format(n="n", b="b", s="s")
     + " AS bags_grade FROM (SELECT l_partkey, l_returnflag, count(*) - 6 AS n, CASE WHEN max(l_linenumber) > 6 THEN NULL ELSE max(l_linenumber) - 4 END AS b, CASE WHEN min(l_quantity) > 20 THEN NULL ELSE min(l_quantity) < 3 END AS s FROM lineitem GROUP BY 1, 2)",
     "bags_grades": "SELECT * FROM grades",
-    "check_grades": "SELECT m = '' AS valid, m AS message FROM (SELECT concat_ws('; ', CASE WHEN count_if(bags_grade = 'C') > 0 THEN 'Invalid grade values detected' END, CASE WHEN count_if(bin_count < 1) > 0 THEN 'Negative BIN counts detected' END) AS m FROM grades)",
+    "check_grades": "SELECT m = '' AS valid, m AS message FROM (SELECT concat_ws('; ', CASE WHEN count_if(bags_grade = 'C') > 0 THEN 'a grade is not one of A to E' END, CASE WHEN count_if(bin_count < 1) > 0 THEN 'a BIN count is below 0' END) AS m FROM grades)",
     "grade_counts": "SELECT bags_grade, count(*) AS species FROM grades GROUP BY 1",
     "auto_select": "SELECT processid, species, quality_score, 'auto' AS \"user\", true AS selected, true AS auto_selected FROM scored WHERE bin_uri <> '' AND species <> '' "
     "QUALIFY row_number() OVER (PARTITION BY bin_uri, coalesce(nullif(country_ocean,''),'Unknown') ORDER BY quality_score DESC, processid) = 1",
@@ -415,9 +413,9 @@ _SQL = {
     "annot_merge": "SELECT * EXCLUDE (flag_user, flag_timestamp) REPLACE (\"rank\"::DOUBLE AS \"rank\") FROM merged",
     "annot_merge_export": "SELECT * FROM export",
     "annot_fold": _ANN,
-    "annot_validate": "SELECT processid, kind, 'Invalid flag values detected' AS problem FROM ann WHERE kind = 'flag' AND value NOT IN ('misidentification','synonym','id_uncertain','data_issue','other_issue') "
-    "UNION ALL SELECT processid, kind, 'Invalid curator note format or length' FROM ann WHERE kind = 'curator_notes' AND length(value) > 1000 "
-    "UNION ALL SELECT processid, kind, 'Invalid specimen IDs in selection' FROM ann WHERE kind = 'selected' AND processid NOT IN (SELECT processid FROM imported)",
+    "annot_validate": "SELECT processid, kind, 'unknown flag' AS problem FROM ann WHERE kind = 'flag' AND value NOT IN ('misidentification','synonym','id_uncertain','data_issue','other_issue') "
+    "UNION ALL SELECT processid, kind, 'note is too long' FROM ann WHERE kind = 'curator_notes' AND length(value) > 1000 "
+    "UNION ALL SELECT processid, kind, 'selected specimen is not in the table' FROM ann WHERE kind = 'selected' AND processid NOT IN (SELECT processid FROM imported)",
     "annot_flag_labels": f"SELECT processid, value AS flag, {_label()} AS label FROM ann WHERE kind = 'flag'",
     "annot_counts": "SELECT kind, count(*) AS specimens FROM ann GROUP BY 1",
     # sinks

@@ -77,7 +77,7 @@ def conform(df: DataFrame, columns=None, required=("processid",)) -> DataFrame:
     """
     absent = missing_columns(df, required)
     if absent:
-        raise ValueError("Missing required columns: " + ", ".join(absent))
+        raise ValueError("absent columns: " + ", ".join(absent))
     wanted = SPECIMEN_SCHEMA.fieldNames() if columns is None else columns
     nulls = {
         c: F.lit(None).cast(SPECIMEN_SCHEMA[c].dataType) for c in wanted if c not in df.columns

@@ -1,21 +1,33 @@
 """Specimen dumps, image tables and annotation tables as DataFrames."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specimen_spark import schema
+from specimen_spark.functions.storage import file_system
 
 
-def read_specimens(spark: SparkSession, path, format: str = "parquet", columns=None) -> DataFrame:
+def read_specimens(
+    spark: SparkSession, path, format: str = "parquet", columns=None, multiline: bool = False
+) -> DataFrame:
     """Read a specimen dump: tsv, csv, json, or any format Spark reads by name.
 
     No schema inference. Delimited dumps are read as text by their header and cast to the
-    declared types; ``NA`` is null there and an empty field stays an empty string.
+    declared types; ``NA`` is null there and an empty field stays an empty string. Files may
+    order their columns differently. ``multiline``: quoted csv fields may hold line ends; a
+    file is then read by one task.
     """
     fmt = format.lower()
     if fmt in ("tsv", "csv"):
-        df = _typed(schema.to_table_names(spark.read.options(**_DELIMITED[fmt]).csv(path)))
+        reader = spark.read.options(**_DELIMITED[fmt], multiLine=multiline)
+        groups = _by_header(spark, path).values()
+        if not groups:
+            raise ValueError("the dump has no header line")
+        parts = [schema.to_table_names(reader.csv(files)) for files in groups]
+        df = _typed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
     elif fmt == "json":
         declared = T.StructType(
             [
@@ -36,12 +48,39 @@ _DELIMITED = {
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
     },
     "csv": {
-        "header": True, "escape": '"', "multiLine": True,
+        "header": True, "escape": '"',
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
     },
 }
 
 
+def _by_header(spark: SparkSession, path) -> dict[str, list[str]]:
+    """Files by their first line. Spark takes one header for all files of a read, by position."""
+    found: dict[str, list[str]] = {}
+    io, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = io.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    for p in [path] if isinstance(path, str) else path:
+        fs, target = file_system(spark, p)
+        waiting = list(fs.globStatus(target) or [])
+        if not waiting:
+            raise FileNotFoundError(p)
+        while waiting:
+            status = waiting.pop()
+            at = status.getPath()
+            if status.isDirectory():
+                waiting += [s for s in fs.listStatus(at) if s.getPath().getName()[:1] not in ("_", ".")]
+                continue
+            codec, stream = codecs.getCodec(at), fs.open(at)
+            if codec is not None:
+                stream = codec.createInputStream(stream)
+            lines = io.java.io.BufferedReader(io.java.io.InputStreamReader(stream, "UTF-8"))
+            header = lines.readLine()
+            lines.close()
+            if header is not None:
+                found.setdefault(header, []).append(at.toString())
+    return {h: sorted(files) for h, files in found.items()}
+
+
 def _typed(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in schema.SPECIMEN_SCHEMA}
     out = []

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specimen_spark.functions.storage import materialize
 from specimen_spark.functions.text import not_blank, title_first, trimws
 
 RECORDSET_COLUMN = "bold_recordset_code_arr"
@@ -10,29 +11,22 @@ TAXON_COLUMNS = [
     "kingdom", "phylum", "class", "order", "family", "subfamily", "tribe", "genus",
     "species", "subspecies",
 ]
-# A code list typed by a user; beyond this pass a DataFrame, which is joined.
-MAX_LITERAL_CODES = 1000
 
 
 def _by_recordset(universe: DataFrame, codes, delimiter: str) -> DataFrame:
     members = F.transform(F.split(F.col(RECORDSET_COLUMN), delimiter), lambda c: trimws(c))
-    if isinstance(codes, DataFrame):
-        wanted = codes.toDF("_code").select(trimws("_code").alias("_code")).filter(
-            "_code <> ''"
-        ).distinct()
-        # membership depends on the recordset text alone: test each distinct text once,
-        # then keep the rows that carry a matching one
-        hits = (
-            universe.select(RECORDSET_COLUMN).distinct()
-            .select(RECORDSET_COLUMN, F.explode(members).alias("_code"))
-            .join(wanted, "_code", "left_semi")
-            .select(RECORDSET_COLUMN).distinct()
-        )
-        return universe.join(hits, RECORDSET_COLUMN, "left_semi").select(*universe.columns)
-    codes = sorted({c.strip() for c in codes if c and c.strip()})
-    if len(codes) > MAX_LITERAL_CODES:
-        raise ValueError("Pass more than %d codes as a DataFrame" % MAX_LITERAL_CODES)
-    return universe.filter(F.arrays_overlap(members, F.array(*[F.lit(c) for c in codes])))
+    if not isinstance(codes, DataFrame):
+        codes = universe.sparkSession.createDataFrame([(c,) for c in codes], "_code string")
+    wanted = codes.toDF("_code").select(trimws("_code").alias("_code")).filter("_code <> ''").distinct()
+    # membership depends on the recordset text alone: test each distinct text once,
+    # then keep the rows that carry a matching one
+    hits = (
+        universe.select(RECORDSET_COLUMN).distinct()
+        .select(RECORDSET_COLUMN, F.explode(members).alias("_code"))
+        .join(wanted, "_code", "left_semi")
+        .select(RECORDSET_COLUMN).distinct()
+    )
+    return universe.join(hits, RECORDSET_COLUMN, "left_semi").select(*universe.columns)
 
 
 def by_datasets(universe: DataFrame, codes, delimiter: str = ",") -> DataFrame:
@@ -54,24 +48,23 @@ def by_taxa(universe: DataFrame, names: DataFrame, rank_columns=None) -> DataFra
     Which ranks a name is compared with is a choice of this package: all that the frame
     has. An unknown name gives no rows.
 
-    The rank values of a row become an array, so the search names are joined once, not
-    once per rank. The search yields keys - distinct (processid, name) pairs are narrow and
-    repeated names collapse on the map side - and full rows are fetched by key.
+    A match depends on a row's ranks alone, so names are looked up in the distinct rank tuples
+    (combined on the map side, far fewer than rows). All records of a matching row's key are kept.
     """
     present = [c for c in (rank_columns or TAXON_COLUMNS) if c in universe.columns]
     column = names.columns[0] if "name" not in names.columns else "name"
     wanted = (
         names.select(title_first(column).alias("_name")).filter(not_blank("_name")).distinct()
     )
-    ranks = F.array_compact(F.array_distinct(F.array(*[F.col(c) for c in present])))
+    ranks = F.array(*[F.col(c) for c in present])
     hits = (
-        universe.select("processid", F.explode(ranks).alias("_name"))
-        .distinct()
+        universe.select(ranks.alias("_ranks")).distinct()
+        .select("_ranks", F.explode(F.array_compact(F.array_distinct("_ranks"))).alias("_name"))
         .join(wanted, "_name", "left_semi")
-        .select("processid")
-        .distinct()
+        .select("_ranks").distinct()
     )
-    return universe.join(hits, "processid", "left_semi").select(*universe.columns)
+    keys = universe.select("processid", ranks.alias("_r")).join(hits, F.col("_r") == F.col("_ranks"), "left_semi")
+    return universe.join(keys.select("processid").distinct(), "processid", "left_semi").select(*universe.columns)
 
 
 def by_processids(universe: DataFrame, ids: DataFrame) -> DataFrame:
@@ -84,10 +77,12 @@ def expand_bins(current: DataFrame, universe: DataFrame) -> DataFrame:
 
     Geography is not re-applied, so foreign records of the same BIN come back on purpose.
     Blank BINs are dropped before the shuffle; a hot BIN sits on the streamed side of a
-    semi-join, which adaptive execution splits.
+    semi-join, which adaptive execution splits. The current set is used three times, so it is
+    written once.
     """
+    current = materialize(current, "expand")
     bins = current.filter(not_blank("bin_uri")).select("bin_uri").distinct()
     members = universe.filter(not_blank("bin_uri")).join(bins, "bin_uri", "left_semi")
-    held = current.select(F.col("processid").alias("_held")).distinct()
+    held = current.select(F.col("processid").alias("_held"))
     new = members.join(held, members.processid.eqNullSafe(held._held), "left_anti")
     return current.unionByName(new.select(*current.columns))

@@ -70,10 +70,10 @@ def test_check_grades(spark):
         "species string, bags_grade string, specimen_count long, bin_count long, shared_bins boolean",
     )
     assert one(grade.check_grades(good)) == {"valid": True, "message": ""}
-    assert "Invalid grade" in one(grade.check_grades(good.withColumn("bags_grade", F.lit("X"))))["message"]
-    assert "Negative specimen" in one(grade.check_grades(good.withColumn("specimen_count", F.lit(-1))))["message"]
-    assert "Missing required columns: bin_count" in one(grade.check_grades(good.drop("bin_count")))["message"]
-    assert one(grade.check_grades(good.filter("false"))) == {"valid": False, "message": "Empty grades data frame"}
+    assert "not one of A to E" in one(grade.check_grades(good.withColumn("bags_grade", F.lit("X"))))["message"]
+    assert "a specimen count is below 0" in one(grade.check_grades(good.withColumn("specimen_count", F.lit(-1))))["message"]
+    assert "absent columns: bin_count" in one(grade.check_grades(good.drop("bin_count")))["message"]
+    assert one(grade.check_grades(good.filter("false"))) == {"valid": False, "message": "there are no grades"}
 
 
 def test_published_grade_numbers(spark):
@@ -104,7 +104,7 @@ def test_published_grade_numbers(spark):
         ).alias("bin_uri"),
         F.expr(dict(fx.SPECIMEN)["rec_key"]).alias("rec_key"),
     )
-    df = merge.dedupe_processid(sample).withColumns(
+    df = merge.dedupe_processid(sample, ["rec_key"]).withColumns(
         {"species": import_name("species"), "bin_uri": blank_to_null("bin_uri")}
     )
     assert df.count() == 11606

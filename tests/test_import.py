@@ -40,7 +40,7 @@ def test_merge(spark):
     joined = merge.merge_first_wins(a, b)
     assert sorted(map(str, values(joined, "processid"))) == ["None", "P1", "P2", "P3", "P3"]
     assert merge.merge_first_wins(joined, b).count() == joined.count()
-    got = {r["processid"]: r["species"] for r in merge.merge_sources([a, None, b]).collect()}
+    got = {r["processid"]: r["species"] for r in merge.merge_sources([a, None, b], tie=["rec_key"]).collect()}
     assert got == {"P1": "a", "P2": "a", "P3": "c", None: "a"}
 
 
@@ -48,12 +48,12 @@ def test_checks(spark):
     df = full_specimens(spark, {}, {"bin_uri": None})
     assert one(validate.check_required(df)) == {"valid": True, "message": ""}
     assert "BIN" in one(validate.check_required(df.filter("bin_uri is null")))["message"]
-    assert one(validate.check_required(df.filter("false")))["message"] == "No specimen data available"
-    assert one(validate.check_required(df.drop("species")))["message"] == "Missing required columns: species"
+    assert one(validate.check_required(df.filter("false")))["message"] == "the table has no rows"
+    assert one(validate.check_required(df.drop("species")))["message"] == "absent columns: species"
     assert one(validate.check_results(df)) == {"valid": True, "message": ""}
     blank = df.withColumn("processid", F.when(F.col("processid") == "P1", ""))
-    assert one(validate.check_results(blank)) == {"valid": False, "message": "2 records missing processid"}
-    assert one(validate.check_results(df.filter("false")))["message"] == "No results found"
+    assert one(validate.check_results(blank)) == {"valid": False, "message": "2 rows have no processid"}
+    assert one(validate.check_results(df.filter("false")))["message"] == "nothing was retrieved"
 
 
 def test_search_terms(spark):
@@ -65,7 +65,7 @@ def test_search_terms(spark):
     )
     got = by_key(validate.validate_search_terms(terms, lists.continents(spark)), "term")
     assert {k for k, v in got.items() if not v["valid"]} == {"A#", "DS-test", "P 1"}
-    assert got["x" * 101]["message"].startswith("Warning") and got["Atlantis"]["message"].startswith("Warning")
+    assert "is long" in got["x" * 101]["message"] and got["Atlantis"]["message"] == "unknown country: Atlantis"
     assert got["Canada"]["message"] == "" and len(got) == 9
     assert not validate.has_search_terms() and validate.has_search_terms(taxa=["a"])
 
@@ -157,7 +157,7 @@ def test_dump_formats(spark, tmp_path, format):
         sinks.write_tsv(df, path)
     else:
         schema.to_file_names(df).write.format(format).save(path)
-    back = dumps.read_specimens(spark, path, format, columns=df.columns)
+    back = dumps.read_specimens(spark, path, format, columns=df.columns, multiline=True)
     assert back.schema["has_image"].dataType.simpleString() == "boolean"
     assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
 
@@ -197,3 +197,25 @@ def test_curate(spark):
     assert out["specimen_data"].count() == 3 and out["bags_grades"].count() == 2
     assert one(out["gap_analysis"])["status"] == "Found"
     assert out["selected_specimens"].count() == 1
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    for fmt, sep in (("csv", ","), ("tsv", "\t")):
+        folder = tmp_path / fmt
+        folder.mkdir()
+        (folder / "a").write_text(f"processid{sep}species\nP1{sep}Aus bus\n")
+        (folder / "b").write_text(f"species{sep}processid\nBus bus{sep}P2\n")
+        got = dumps.read_specimens(spark, str(folder), fmt, columns=["processid", "species"])
+        assert {tuple(r) for r in got.collect()} == {("P1", "Aus bus"), ("P2", "Bus bus")}
+
+
+def test_any_number_of_codes(spark):
+    universe = _universe(spark)
+    codes = [f"X{i}" for i in range(5000)]
+    assert retrieval.by_datasets(universe, codes).count() == 0
+    assert retrieval.by_datasets(universe, [*codes, "DS-A"]).count() == retrieval.by_datasets(universe, ["DS-A"]).count() > 0
+
+
+def test_import_without_a_tie_column(spark):
+    rows = spark.createDataFrame([("P1", "9", "Aus bus"), ("P1", "10", "Cus dus"), ("P2", None, None)], "processid string, record_id string, species string")
+    assert {r["processid"]: r["species"] for r in merge.dedupe_processid(rows).collect()} == {"P1": "Cus dus", "P2": None}
