@@ -8,10 +8,13 @@ works on classes.
   shuffled, and only shingles found in two classes' prefixes stay in the index.
 * Index skipping: a list is ordered by set size and each entry has its place in its set. Size and the
   number of shingles left after that place bound the overlap; entries out of bounds are skipped.
-* Answer reuse: in each list, first only the least entry and the next smaller one are compared with an
-  entry. Sets linked so far have one answer: their component. Only entries of different components
-  are then compared, the largest component's own pairs never. So a group of copies costs a number of
-  comparisons in proportion to its size, and no link between components is lost.
+* Sketches of 512 bytes rule out most remaining pairs, by a bound that loses none; only pairs that
+  stay have their whole sets compared.
+* Answer reuse: sets linked so far have one answer, their component (at first each set is its own).
+  In each list, entries outside the list's main component are first compared with a few of its sets
+  only; after ``MAIN_ROUNDS`` such rounds all entries of different components are compared, and pairs
+  inside a component never. So a group of near copies costs comparisons in proportion to its size,
+  and no link between components is lost.
 
 The order of shingles only affects cost: any order gives the same links.
 """
@@ -21,10 +24,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specimen_spark.llm.common import batches_of, prepared, staged, table
+from specimen_spark.llm.common import batches_of, prepared, staged, table, without
 from specimen_spark.llm.components import components
 from specimen_spark.llm.words import CHUNK, Words, gram_hash, mix
 
@@ -34,6 +36,10 @@ PERCENT = 75
 FREQUENT = 100_000
 #: Entries of a task's running count; beyond twice that, the rarest are forgotten (hint only).
 COUNTED = 200_000
+#: Rounds that compare with the main component of a list before the rest is compared in full.
+MAIN_ROUNDS = 3
+#: Bits of the sketch that rules pairs out before whole sets are compared.
+SKETCH = 4096
 
 
 def sets_of(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -176,21 +182,56 @@ def _possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
 
 
 def packed_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """(cls, members) of the classes of ``needed`` (doc, cls), read from one document each."""
+    """(cls, n, sketch, members) of the classes of ``needed`` (doc, cls), read from one document each.
+
+    The sketch has a bit for each shingle's hash modulo its length.
+    """
 
     def run(batches):
+        sent = set()  # repeated rows meet in a task, as the join is by doc_id
         for batch in _chunks(batches, "text"):
-            sets = sets_of(batch.column("text"), shingle)
+            out = {"cls": [], "n": [], "sketch": [], "members": []}
+            for cls, members in zip(batch.column("cls").to_pylist(), sets_of(batch.column("text"), shingle)):
+                if cls not in sent and class_of(members) == cls:
+                    sent.add(cls)
+                    bits = np.zeros(SKETCH, bool)
+                    bits[(members % np.uint64(SKETCH)).astype(np.int64)] = True
+                    out["cls"].append(cls)
+                    out["n"].append(len(members))
+                    out["sketch"].append(np.packbits(bits).tobytes())
+                    out["members"].append(members.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "members"]
-            )
+                [pa.array(c, t) for c, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=list(out))
 
     rows = docs.join(needed, F.col("doc_id") == F.col("doc")).select("cls", "text")
-    return rows.mapInArrow(run, "cls long, members binary")
+    return rows.mapInArrow(run, "cls long, n long, sketch binary, members binary")
+
 
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule the threshold out.
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    Each bit that only a's sketch has stands for at least one shingle that b lacks, which bounds the
+    overlap from above: no pair is lost.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            lacks = [np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x))]
+            both = np.minimum(n - lacks[0], m - lacks[1])
+            keep = pa.array(both * (100 + percent) >= (n + m) * percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    left = sets.select(F.col("cls").alias("a"), F.col("sketch").alias("x"), "n")
+    right = sets.select(F.col("cls").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold. Only their sets are made again."""
 
     def run(batches):
         for batch in batches:
@@ -202,49 +243,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
+    pairs = staged(pairs.distinct(), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
+    sets = staged(packed_sets(docs, needed.select("doc", "cls"), shingle), "sets")
+    pairs = staged(likely(pairs, sets, percent), "likely")
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    return staged(both.mapInArrow(run, "a long, b long"), "verified")
+
+
+def mixed_entries(index: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Entries, with their component, of lists that hold several; ``main`` is the component with most
+    entries of the list, ``low`` and ``high`` its smallest and largest set there."""
+    if roots is None:
+        known = index.withColumn("comp", F.col("cls"))
+    else:
+        known = staged(
+            index.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+                "gram", "cls", "n", "place", F.coalesce("root", "cls").alias("comp")),
+            "index_components",
+        )
+    entry = F.struct("n", "cls", "place")
+    per = known.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(entry).alias("low"), F.max(entry).alias("high"))
+    mixed = per.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp", "low", "high")).alias("top")
+    ).filter("comps > 1").select(F.col("gram").alias("g"), F.col("top.comp").alias("main"), "top.m", "top.low", "top.high")
+    mixed = staged(mixed, "mixed_lists")
+    return staged(known.join(mixed, F.col("gram") == F.col("g")).drop("g"), "mixed_entries")
+
+
+def pairs_with_main(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Entries outside their list's main component, paired with a few of its sets: the smallest, the
+    largest, and those that fall into the same of m / 2 buckets, about two of m, by a hash."""
+    ends = entries.filter("comp <> main").select("cls", "n", "place", F.explode(F.array("low", "high")).alias("o"))
+    bucket = F.pmod(F.xxhash64("cls", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("m") / 2)))
+    dealt = entries.withColumn("bucket", bucket)
+    some = dealt.filter("comp = main").select("gram", "bucket", F.struct("n", "cls", "place").alias("o"))
+    drawn = dealt.filter("comp <> main").join(some, ["gram", "bucket"]).select("cls", "n", "place", "o")
+    return ends.union(drawn).filter(
+        _possible(F.col("n"), F.col("place"), F.col("o.n"), F.col("o.place"), percent)
+    ).select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"))
+
+
+def pairs_across(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs of entries of different components that bounds don't rule out."""
+    minor = entries.filter("comp <> main").select("gram", *[F.col(c).alias(c + "2") for c in ("cls", "n", "place", "comp")])
+    return entries.select("gram", "cls", "n", "place", "comp", "main").join(minor, "gram").filter(
+        (F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2")))
+        & _possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent)
+    ).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, frequent: tuple, shingle: int, percent: int) -> DataFrame:
     """(node, root) of every class that has a link."""
     index = staged(shared_only(prefixes(docs, frequent, shingle, percent)), "index")
-    needed = index.select("cls").distinct().join(classes.select("cls", "doc"), "cls")
-    sets = staged(packed_sets(docs, needed.select("doc", "cls"), shingle).dropDuplicates(["cls"]), "sets")
-
-    # In each list, the least entry of its size range and the next smaller entry.
-    order = W.partitionBy("gram").orderBy("n", "cls")
-    entry = F.struct("cls", "n", "place")
-    near = index.withColumn("first", F.first(entry).over(order)).withColumn("before", F.lag(entry).over(order))
-    tried = near.select("cls", "n", "place", F.explode(F.array("first", "before")).alias("o")).filter(
-        F.col("o").isNotNull() & (F.col("o.cls") != F.col("cls"))
-        & _possible(F.col("n"), F.col("place"), F.col("o.n"), F.col("o.place"), percent)
-    ).select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"))
-    links = staged(verified(staged(tried.distinct(), "pairs"), sets, percent), "verified")
-    roots = components(links)
-
-    # Entries of different components; the component with most entries of a list only as a partner.
-    known = index.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "gram", "cls", "n", "place", F.coalesce("root", "cls").alias("comp"))
-    known = staged(known, "index_components")
-    per = known.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = staged(
-        per.groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
-        .filter("comps > 1").select(F.col("gram").alias("g"), "main"),
-        "mixed_lists",
-    )
-    entries = staged(known.join(mixed, F.col("gram") == F.col("g")).drop("g"), "mixed_entries")
-    minor = entries.filter("comp <> main").select(
-        "gram", *[F.col(c).alias(c + "2") for c in ("cls", "n", "place", "comp")])
-    across = entries.join(minor, "gram").filter(
-        (F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2")))
-        & _possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent)
-    ).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-    more = staged(verified(staged(across, "pairs"), sets, percent), "verified")
-    if more.isEmpty():
-        return roots
-    return components(links.union(more))
+    links, roots = None, None
+    for k in range(MAIN_ROUNDS + 1):
+        entries = mixed_entries(index, roots)
+        pairs = pairs_with_main(entries, percent, k) if k < MAIN_ROUNDS else pairs_across(entries, percent)
+        found = verified(pairs, docs, classes, shingle, percent)
+        if links is not None and found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
+        roots = components(links)
+    return roots
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -291,10 +354,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     found = linked(docs, shingle, percent)
     gone = staged(
         found.filter("n_shingles > 0 and component_id < coalesce(doc_id, 9223372036854775807)")
-        .select(F.col("doc_id").alias("_gone")).distinct(),
+        .select("doc_id").distinct(),
         "not_leading",
     )
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    return without(docs, "cast(row.doc_id as long)", gone)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
