@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from specimen_spark.llm.common import staged, table
 from specimen_spark.llm.decontaminate import keep_uncontaminated
-from specimen_spark.llm.jaccard import keep_one
+from specimen_spark.llm.jaccard import keep_leaders
 from specimen_spark.llm.linededup import dedup_lines
 from specimen_spark.llm.packing import pack, tokenizer_path
 from specimen_spark.llm.quality import keep_good
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    return keep_one(docs)
+    """One document of each group of near copies: that with the smallest doc_id, null ids last."""
+    return keep_leaders(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def _chunks(batches, column: str):
 
 
 def profile(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (doc_id, n, cls) of every document, and (shingle, count) of a task's frequent ones."""
+    """Rows (doc_id, mark, n, cls) of every document, and (shingle, count) of a task's frequent ones."""
 
     def run(batches):
         seen, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -83,9 +83,9 @@ def profile(docs: DataFrame, shingle: int) -> DataFrame:
             sets = sets_of(batch.column("text"), shingle)
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array([class_of(s) if len(s) else 0 for s in sets], pa.int64()),
                  pa.nulls(len(n), pa.int64()), pa.array([False] * len(n))],
-                names=["doc_id", "n", "cls", "gram", "frequent"],
+                names=["doc_id", "mark", "n", "cls", "gram", "frequent"],
             )
             some, c = np.unique(np.concatenate([seen, *sets]), return_counts=True)
             c[np.searchsorted(some, seen)] += counts - 1
@@ -99,12 +99,12 @@ def profile(docs: DataFrame, shingle: int) -> DataFrame:
         for at in range(0, len(often), 10_000):
             part = often[at : at + 10_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(part), pa.int64()), pa.array(counts[part]), pa.nulls(len(part), pa.int64()),
+                [pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(counts[part]), pa.nulls(len(part), pa.int64()),
                  pa.array(seen[part].view(np.int64)), pa.array([True] * len(part))],
-                names=["doc_id", "n", "cls", "gram", "frequent"],
+                names=["doc_id", "mark", "n", "cls", "gram", "frequent"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, gram long, frequent boolean")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, cls long, gram long, frequent boolean")
 
 
 def prefixes(docs: DataFrame, frequent: tuple, shingle: int, percent: int) -> DataFrame:
@@ -182,13 +182,13 @@ def _possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
 
 
 def packed_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """(cls, n, sketch, members) of the classes of ``needed`` (doc, cls), read from one document each.
+    """(cls, n, sketch, members) of the classes of ``needed`` (rep, cls), read from the row marked rep.
 
     The sketch has a bit for each shingle's hash modulo its length.
     """
 
     def run(batches):
-        sent = set()  # repeated rows meet in a task, as the join is by doc_id
+        sent = set()  # repeated rows meet in a task, as the join is by mark
         for batch in _chunks(batches, "text"):
             out = {"cls": [], "n": [], "sketch": [], "members": []}
             for cls, members in zip(batch.column("cls").to_pylist(), sets_of(batch.column("text"), shingle)):
@@ -203,7 +203,7 @@ def packed_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=list(out))
 
-    rows = docs.join(needed, F.col("doc_id") == F.col("doc")).select("cls", "text")
+    rows = docs.join(needed, F.col("mark") == F.col("rep")).select("cls", "text")
     return rows.mapInArrow(run, "cls long, n long, sketch binary, members binary")
 
 
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
 
     pairs = staged(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
-    sets = staged(packed_sets(docs, needed.select("doc", "cls"), shingle), "sets")
+    sets = staged(packed_sets(docs, needed.select("rep", "cls"), shingle), "sets")
     pairs = staged(likely(pairs, sets, percent), "likely")
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
@@ -311,7 +311,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, frequent: tuple, shingle:
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, cls (equal sets), component_id.
+    """One row per document row: doc_id, mark, n_shingles, cls (equal sets), component_id, lead.
+
+    Rows are told by ``mark``, a hash of doc_id and text. ``lead`` is the mark of the component's first
+    row by doc_id, nulls last, then mark; it is null without a set.
 
     Empty and null texts have no set: component_id is their own doc_id. A null doc_id is greater
     than others: it names a component only where no member has an id. Repeated rows get equal
@@ -319,8 +322,9 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """
     spark = prepared(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
     found = staged(profile(docs, shingle), "profile")
-    own = found.filter("not frequent").select("doc_id", "n", "cls")
+    own = found.filter("not frequent").select("doc_id", "mark", "n", "cls")
     top = (
         found.filter("frequent").groupBy("gram").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
@@ -329,19 +333,24 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     order = np.argsort(grams)
     frequent = (grams[order], top["n"].to_numpy(np.int64)[order])
     classes = staged(
-        own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc")), "classes"
+        own.filter("n > 0").groupBy("cls").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("mark").alias("rep"))).alias("first")),
+        "classes",
     )
-    roots = link_classes(docs, classes, frequent, shingle, percent)
+    reps = classes.select("cls", "first.rep")
+    roots = link_classes(docs, reps, frequent, shingle, percent)
     rooted = staged(
-        classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc", F.coalesce("root", "cls").alias("root")),
+        classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root")),
         "rooted",
     )
-    least = staged(rooted.groupBy(F.col("root").alias("r")).agg(F.min("doc").alias("component")), "least")
+    least = staged(rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least")), "least")
     named = staged(
-        rooted.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component"), "named"
+        rooted.join(least, F.col("root") == F.col("r")).select(
+            F.col("cls").alias("c"), F.col("least.doc").alias("component"), F.col("least.rep").alias("lead")),
+        "named",
     )
     return own.join(named, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", "mark", F.col("n").alias("n_shingles"), "cls", F.coalesce("component", "doc_id").alias("component_id"), "lead"
     )
 
 
@@ -360,6 +369,17 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return without(docs, "cast(row.doc_id as long)", gone)
 
 
+def keep_leaders(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The first document of each group of linked ones: smallest doc_id, null last, then least mark.
+
+    Unlike ``keep_one``, which drops all rows under an id, this tells rows by doc_id and text: of two
+    texts under one id, or of rows with a null id, only those go that a row before them is linked to.
+    Documents without words stay; repeated rows of the first document stay together.
+    """
+    gone = staged(linked(docs, shingle, percent).filter("mark <> lead").select("mark").distinct(), "not_first")
+    return without(docs, "xxhash64(cast(row.doc_id as long), cast(row.text as string))", gone)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     return linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
