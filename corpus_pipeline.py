@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; those of which no word is left go."""
-    out = dedup_lines(docs)
+    """Documents without lines that repeat earlier ones, short lines too; those of which no word is left go."""
+    out = dedup_lines(docs, short_copies=True)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
     return out.filter(left).withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)

@@ -2,7 +2,8 @@
 
 A line is a run of words. Two lines match if they are equal or one word was replaced, inserted or
 deleted. A line goes if it matches a line that stands earlier (smaller doc_id, then line number);
-this is judged on the input. Lines of fewer than ``min_words`` words are left alone.
+this is judged on the input. Lines of fewer than ``min_words`` words have no near copies; with
+``short_copies`` they go if an earlier line has the same words, else they are left alone.
 
 Emitting one variant per word of every line would multiply the corpus, so variants come at two
 levels. Level 1 leaves out one of ``SEGMENTS`` parts of a line: a matching pair agrees on all parts
@@ -59,6 +60,13 @@ def long_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return lines.select(F.xxhash64("w").alias("lid"), "n", "d", "t", "l", *keys)
 
 
+def short_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(lid, n, d, t, l) of every line of 1 to ``min_words`` - 1 words."""
+    lines = identified(docs).select("d", "t", F.posexplode(lines_of(F.col("text"))).alias("l", "line"))
+    words = lines.select(words_of(F.col("line")).alias("w"), "d", "t", "l").withColumn("n", F.size("w"))
+    return words.filter((F.col("n") > 0) & (F.col("n") < min_words)).select(F.xxhash64("w").alias("lid"), "n", "d", "t", "l")
+
+
 def _part_key(w: Column, n: Column, length: Column, j: int) -> Column:
     """Key of a line without its part j, cut as a line of ``length`` words is cut."""
     begin, rest = _begin(length, j), length - _begin(length, j + 1)
@@ -171,10 +179,11 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (rest_long == rest_short)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
     """All documents with ``n_lines``, ``n_removed`` and the text of the lines that stay.
 
-    Null text has no lines and stays null; empty and short lines stay; line order is kept. Other
+    Null text has no lines and stays null; lines without words stay, shorter ones than
+    ``min_words`` too unless ``short_copies`` lets exact copies of them go; line order is kept. Other
     columns pass through, whatever their names. An empty table gives no rows.
     """
     lines = staged(long_lines(docs, min_words), "lines")
@@ -185,8 +194,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select("key", "first", F.col("gone").isNull().alias("stays")),
         "staying_lines",
     )
+    lines = lines.select("lid", "d", "t", "l")
+    if short_copies:
+        short = staged(short_lines(docs, min_words), "short_lines")
+        earliest = short.groupBy(F.col("lid").alias("key")).agg(F.min(F.struct("d", "t", "l")).alias("first"))
+        stay = stay.union(staged(earliest.withColumn("stays", F.lit(True)), "short_firsts"))
+        lines = lines.union(short.select("lid", "d", "t", "l"))
     lost = staged(
-        lines.select("lid", "d", "t", "l").join(stay, F.col("lid") == F.col("key"))
+        lines.join(stay, F.col("lid") == F.col("key"))
         .filter(~(F.col("stays") & (F.struct("d", "t", "l") == F.col("first"))))
         .groupBy(F.col("d").alias("ld"), F.col("t").alias("lt")).agg(F.collect_set("l").alias("lost")),
         "lost_lines",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from specimen_spark.llm import jaccard
+from specimen_spark.llm import jaccard, linededup
 from tests.llm import cases
 
 OTHER = " ".join(f"other{i}" for i in range(30))
@@ -31,3 +31,15 @@ def test_near_copies_whose_ids_are_all_null_are_linked(spark):
     cases.same(texts(jaccard.keep_leaders(docs)), [(9, near + " more"), (1, cases.SENTENCE)])
     nulls = docs.filter(F.col("doc_id").isNull())
     assert jaccard.keep_leaders(nulls).count() == 1
+
+
+def test_exact_copies_of_short_lines_go(spark):
+    near, one = "home about us contact page", "Home  about us"
+    rows = [cases.doc(2, "\n".join([one, near, "", "ok", cases.SENTENCE])), cases.doc(1, "home about us\n \nfirst"),
+            cases.doc(3, "OK\n\n" + near + "\nlast " + cases.SENTENCE), cases.doc(None, "ok\nown"), cases.doc(4, None)]
+    docs = cases.documents(spark, rows)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.dedup_lines(docs, short_copies=True).collect()}
+    assert got == {1: (3, 0, "home about us\n \nfirst"), 2: (5, 1, "\n".join([near, "", "ok", cases.SENTENCE])),
+                   3: (4, 3, ""), None: (2, 1, "own"), 4: (0, 0, None)}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert 3 not in kept and kept[2] == got[2][2]
