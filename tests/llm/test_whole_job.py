@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from specimen_spark.llm import jaccard, linededup
+from specimen_spark.llm import jaccard, linededup, quality
 from tests.llm import cases
 
 OTHER = " ".join(f"other{i}" for i in range(30))
@@ -43,3 +43,17 @@ def test_exact_copies_of_short_lines_go(spark):
                    3: (4, 3, ""), None: (2, 1, "own"), 4: (0, 0, None)}
     kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert 3 not in kept and kept[2] == got[2][2]
+
+
+def test_toxic_and_low_documents_are_rejected(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.judge(docs, labels).join(labels, "doc_id").select("quality", "toxic", "keep").collect()
+
+    def kept(test):
+        some = [r.keep for r in rows if test(r)]
+        return sum(some) / len(some)
+
+    clean, toxic, low = (kept(t) for t in (
+        lambda r: r.quality == 1 and r.toxic == 0, lambda r: r.toxic == 1, lambda r: r.quality == 0))
+    assert clean > 0.95 and toxic < 0.5 and low < 0.2, (clean, toxic, low)
