@@ -1,5 +1,8 @@
 """Cases that parts of the operators used to leave out."""
 
+import math
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -57,3 +60,27 @@ def test_toxic_and_low_documents_are_rejected(spark):
     clean, toxic, low = (kept(t) for t in (
         lambda r: r.quality == 1 and r.toxic == 0, lambda r: r.toxic == 1, lambda r: r.quality == 0))
     assert clean > 0.95 and toxic < 0.5 and low < 0.2, (clean, toxic, low)
+
+
+def test_a_language_moves_gradually_to_its_own_limit(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.union(docs.limit(1).selectExpr("-1L", "text", "'xx'", "source", "n_chars"))
+    rows = quality.classify(docs, labels).collect()
+    fold = F.pmod(F.xxhash64("trusted", F.lit("fold")), F.lit(quality.FOLDS))
+    held = {r[0] for r in quality.trusted_ids(labels).filter(fold == 0).collect()}
+    by_lang = defaultdict(list)
+    for r in rows:
+        if r.doc_id in held and r.perplexity is not None:
+            by_lang[r.lang].append(r.perplexity)
+
+    def limit(values):
+        return sorted(values)[math.ceil(quality.QUANTILE * len(values)) - 1]
+
+    pooled = limit([x for values in by_lang.values() for x in values])
+    assert min(map(len, by_lang.values())) < 30
+    for r in rows:
+        n = len(by_lang[r.lang])
+        share = n / (n + 30)
+        want = math.exp(share * math.log(limit(by_lang[r.lang])) + (1 - share) * math.log(pooled)) if n else pooled
+        assert math.isclose(r.threshold, want, rel_tol=1e-9), (r.lang, n)
