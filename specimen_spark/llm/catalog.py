@@ -1,6 +1,7 @@
 """Registered queries of this folder and their check SQL."""
 
 import corpus_pipeline
+from specimen_spark.llm.alignment import op13_alignment
 from specimen_spark.llm.ann import op6_ann
 from specimen_spark.llm.chat import op8_chat
 from specimen_spark.llm.decontaminate import OP1_SQL, op1_decontamination
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_jaccard": op9_jaccard,
     "op10_linededup": op10_linededup,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_substring": OP7_SQL, "op9_jaccard": OP9_SQL, "op10_linededup": OP10_SQL}
