@@ -10,6 +10,7 @@ from specimen_spark.llm.linededup import OP10_SQL, op10_linededup
 from specimen_spark.llm.packing import op2_packing
 from specimen_spark.llm.quality import op5_quality
 from specimen_spark.llm.sharding import op4_sharding
+from specimen_spark.llm.structure import op12_structure
 from specimen_spark.llm.substring import OP7_SQL, op7_substring
 from specimen_spark.llm.warc import op3_warc
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_jaccard": op9_jaccard,
     "op10_linededup": op10_linededup,
+    "op12_structure": op12_structure,
     "op13_alignment": op13_alignment,
 }
 
