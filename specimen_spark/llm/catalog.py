@@ -8,6 +8,7 @@ from specimen_spark.llm.decontaminate import OP1_SQL, op1_decontamination
 from specimen_spark.llm.jaccard import OP9_SQL, op9_jaccard
 from specimen_spark.llm.linededup import OP10_SQL, op10_linededup
 from specimen_spark.llm.packing import op2_packing
+from specimen_spark.llm.ppm import op11_ppm
 from specimen_spark.llm.quality import op5_quality
 from specimen_spark.llm.sharding import op4_sharding
 from specimen_spark.llm.structure import op12_structure
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_jaccard": op9_jaccard,
     "op10_linededup": op10_linededup,
+    "op11_ppm": op11_ppm,
     "op12_structure": op12_structure,
     "op13_alignment": op13_alignment,
 }
