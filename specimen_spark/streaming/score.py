@@ -1,14 +1,42 @@
 """Scoring and ranking of arriving specimens."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from specimen_spark.functions.windows import first_per_key
 from specimen_spark.operators.score import process_specimens
 
 
-def stream_score(specimens: DataFrame, images: DataFrame | None = None, scoring=None, ranks=None) -> DataFrame:
-    """Validation flags, score, rank and defaults on a streaming frame.
+def stream_score(
+    specimens: DataFrame, images: DataFrame | None = None, scoring=None, ranks=None,
+    keys=("processid",), time: str = "arrived", within: str = "1 hour",
+) -> DataFrame:
+    """Validation flags, score, rank and defaults on a streaming frame; output mode append.
 
-    The batch projection as it is: stateless, so nothing is kept between batches and
-    output mode append works. ``images`` is a static table.
+    Without images, or with a static table of them, it is the batch projection: stateless.
+
+    With a stream of images both streams have an event time, and a specimen is scored at once without
+    image and again when an image of its processid arrives, up to ``within`` before or after it. Rows
+    with equal ``keys``, and further images of a processid, are dropped ``within`` the watermark, which also
+    bounds what the join keeps. Each specimen so has one or two rows: ``latest_scores`` takes the one that counts.
     """
-    return process_specimens(specimens, images, scoring, ranks)
+    if images is None or not images.isStreaming:
+        return process_specimens(specimens, images, scoring, ranks)
+    arriving = (
+        specimens.drop("has_image").withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
+    )
+    seen = (
+        images.filter(F.col("processid").isNotNull() & (F.col("processid") != ""))
+        .select(F.col("processid").alias("_pid"), F.col(time).alias("_seen"))
+        .withWatermark("_seen", within).dropDuplicatesWithinWatermark(["_pid"])
+    )
+    span = F.expr(f"interval {within}")
+    near = (F.col("_seen") >= F.col(time) - span) & (F.col("_seen") <= F.col(time) + span)
+    with_image = arriving.join(seen, (F.col("processid") == F.col("_pid")) & near).drop("_pid", "_seen")
+    both = arriving.withColumn("has_image", F.lit(False)).unionByName(with_image.withColumn("has_image", F.lit(True)))
+    return process_specimens(both, None, scoring, ranks)
+
+
+def latest_scores(rows: DataFrame, keys=("processid",)) -> DataFrame:
+    """One row per specimen of what ``stream_score`` wrote: the one with its image, if it came."""
+    return first_per_key(rows, list(keys), [F.col("has_image").desc()])
