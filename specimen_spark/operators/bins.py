@@ -37,12 +37,18 @@ def _taxonomy_aggregates() -> list:
     valid = F.when(
         not_blank("species") & ~matches("species", rules.CONCORDANCE_NAME_REJECT), species
     )
-    # a cf. name never conflicts; an aff. name conflicts unless the valid name follows at once
+    # A cf. name never conflicts; an aff. name conflicts unless the valid name follows at once. Texts that
+    # begin with one name lie next to each other, so the first and the last of what follows tell for
+    # all; only names that hold aff. more than once, where any may do, are kept.
     aff_only = F.when(matches("species", r"aff\.") & ~matches("species", r"cf\."), species)
+    once = F.when(~matches("species", r"aff\..*aff\."), F.substring_index(aff_only, "aff.", -1))
+    often = F.when(matches("species", r"aff\..*aff\."), aff_only)
     return [
         _several(valid).alias("_several_valid"),
         F.max(valid).alias("_valid"),
-        F.collect_set(aff_only).alias("_aff"),
+        F.min(once).alias("_aff_first"),
+        F.max(once).alias("_aff_last"),
+        F.collect_set(often).alias("_aff_often"),
         _several(_filled("genus")).alias("_several_genus"),
         F.coalesce(F.max(not_blank("genus")), F.lit(False)).alias("_has_genus"),
         _several(_filled("family")).alias("_several_family"),
@@ -53,8 +59,9 @@ def _taxonomy_aggregates() -> list:
 
 def _discordant():
     """The rule on the aggregates. The valid name is compared as plain text, not as a regex."""
-    conflicting = F.exists(
-        "_aff", lambda name: ~name.contains(F.concat(F.lit("aff."), F.col("_valid")))
+    valid = F.col("_valid")
+    conflicting = F.coalesce(~(F.col("_aff_first").startswith(valid) & F.col("_aff_last").startswith(valid)), F.lit(False)) | F.exists(
+        "_aff_often", lambda name: ~name.contains(F.concat(F.lit("aff."), valid))
     )
     return (
         F.col("_several_valid")

@@ -60,13 +60,19 @@ def checklist_summary(checklist: DataFrame) -> DataFrame:
     )
 
 
+#: Note of the gap report where there are no specimens at all.
+NO_SPECIMENS = "There are no specimens to compare with"
+
+
 def gap_analysis(groups: DataFrame, df: DataFrame) -> DataFrame:
     """Found / Missing per taxon group; the valid name is tried first, then the synonyms.
 
     Names compare ignoring case. Specimens are counted per name before the join, so the
     join sees one row per name however many records a species has. ``matched_species`` is
-    the lowest spelling (there is no first row in Spark).
+    the lowest spelling (there is no first row in Spark). Without any specimen every group is
+    Missing with a note that says so.
     """
+    nothing = df.agg(F.count(F.lit(1)).alias("n")).scalar() == 0
     counted = (
         df.filter(F.col("species").isNotNull())
         .groupBy("species").agg(F.count(F.lit(1)).alias("n"))
@@ -87,7 +93,7 @@ def gap_analysis(groups: DataFrame, df: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("specimen_count"),
         F.when(F.col("_hit") != F.col("_valid"),
                F.concat(F.lit("Matched via synonym: "), F.col("_hit")))
-        .otherwise("").alias("notes"),
+        .when(nothing, NO_SPECIMENS).otherwise("").alias("notes"),
     )
 
 

@@ -44,6 +44,10 @@ def test_concordance_rules(spark):
         "aff": ([("Aus aus",), ("Aus aff. aus",)], False),
         "aff_at_once": ([("Aus aus",), ("Aus aff.Aus aus",)], True),
         "aff_cf": ([("Aus aus",), ("Aus aff. cf. bus",)], True),
+        "aff_several": ([("Aus aus",), ("Aus aff.Aus aus",), ("Bus aff.Aus aus x",), ("Zus aff.Aus aus",)], True),
+        "aff_between": ([("Aus aus",), ("Aus aff.Aus aus",), ("Bus aff.Aus b",), ("Zus aff.Aus aus",)], False),
+        "aff_twice": ([("Aus aus",), ("Xus aff. aff.Aus aus",), ("Zus aff.Aus aus aff. c",)], True),
+        "aff_twice_not": ([("Aus aus",), ("Xus aff.Aus aus",), ("Zus aff.Cus aff. c",)], False),
         "aff_only": ([("Aus aff. bus",), ("Bus aff. cus",)], True),
         "genus": ([(None, "Aus"), (None, "Bus")], False),
         "genus_with_species": ([("Aus aus", "Aus"), ("Aus aus", "Bus")], False),
@@ -116,3 +120,12 @@ def test_gap_analysis(spark):
     assert one(species.gap_summary(df)) == {"found": 3, "total": 4}
     empty = by_key(species.gap_analysis(groups, _scored(spark).filter("false")), "group_id")
     assert {r["status"] for r in empty.values()} == {"Missing"}
+
+
+def test_gaps_of_no_specimens_say_so(spark):
+    groups = lists.taxon_groups(spark.createDataFrame([(1, "Aus bus, Aus cus"), (2, "Bus bus")], "line_no long, text string"))
+    empty = spark.createDataFrame([], "species string")
+    rows = species.gap_analysis(groups, empty).collect()
+    assert {(r.status, r.notes, r.specimen_count) for r in rows} == {("Missing", species.NO_SPECIMENS, 0)} and len(rows) == 2
+    some = spark.createDataFrame([("Aus cus",)], "species string")
+    assert {r.input_taxon: r.notes for r in species.gap_analysis(groups, some).collect()} == {"Aus bus, Aus cus": "Matched via synonym: Aus cus", "Bus bus": ""}
