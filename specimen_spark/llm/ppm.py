@@ -35,7 +35,9 @@ DISCOUNT = 0.5
 BITS = 9
 END, ALPHABET = 257, 257  # symbols: 0 before the text, 1 + byte, END
 #: Bytes of text that a task works on at once; a longer text goes in parts, cut behind white space.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
+#: Numbers made at once, so that intermediate arrays stay small.
+SLICE = 1 << 19
 #: Bytes of text whose numbers a shard gets.
 SHARD_BYTES = 32 << 20
 GRAM, WORD = 0, 1
@@ -51,19 +53,31 @@ def codes(data: np.ndarray, offsets: np.ndarray, context: int, ends: bool, order
     lengths = np.diff(offsets)
     room = lengths + order + ends
     begins = np.cumsum(room) - room
-    symbols = np.zeros(room.sum(), np.int64)
-    own = np.ones(len(symbols), bool)
-    at = np.repeat(begins + order - offsets[:-1], lengths) + np.arange(len(data))
-    symbols[at] = _LOWER[data].astype(np.int64) + 1
+    own = np.ones(room.sum(), bool)  # bytes of texts, not what stands before them or their ends
+    for i in range(order):
+        own[begins + i] = False
+    if ends:
+        own[begins + room - 1] = False
+    symbols = np.zeros(len(own), np.int16)
+    symbols[own] = _LOWER[data].astype(np.int16) + 1
     if ends:
         symbols[begins + room - 1] = END
-    total = symbols.copy()
-    for back in range(1, order + 1):
-        total[back:] += symbols[:-back] << (BITS * back)
-    for i in range(order + context):
-        own[begins + i] = False
-    counts = room - order - context
-    return total[own], np.concatenate([[0], np.cumsum(counts)])
+        own[begins + room - 1] = True
+    for i in range(context):
+        own[begins + order + i] = False
+    out = np.empty(int((room - order - context).sum()), np.int64)
+    done = 0
+    for at in range(0, len(symbols), SLICE):
+        near = symbols[max(0, at - order) : at + SLICE].astype(np.int64)
+        skip = min(at, order)
+        total = near[skip:].copy()
+        for back in range(1, order + 1):
+            first = max(0, back - skip)
+            total[first:] += near[skip - back + first : len(near) - back] << (BITS * back)
+        kept = total[own[at : at + SLICE]]
+        out[done : done + len(kept)] = kept
+        done += len(kept)
+    return out, np.concatenate([[0], np.cumsum(room - order - context)])
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -94,11 +108,17 @@ _END_WORD = np.uint64(0x5851F42D4C957F2D)
 
 def distinct(keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, and how often each stands in what is not held out."""
-    both = np.sort((keys.astype(np.uint64) << np.uint64(1)) | held)
-    key = both >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(1 - (both & np.uint64(1)).astype(np.int64), first) if len(key) else first
-    return key[first].astype(np.int64), counts
+    both = keys.astype(np.uint64)
+    both <<= np.uint64(1)
+    np.bitwise_or(both, held, out=both)
+    both.sort()
+    out = (both & np.uint64(1)).astype(np.uint8)
+    both >>= np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(both)))
+    if len(first):
+        counts -= np.add.reduceat(out, first, dtype=np.int64)
+    return both[first].astype(np.int64), counts
 
 
 def by_shard(keys: np.ndarray, kind: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +156,17 @@ _STAGED = ("block long, row long, doc_ids array<long>, held array<boolean>, leng
 
 def _zipped(data: np.ndarray | bytes) -> bytes:
     data = data if isinstance(data, bytes) else data.tobytes()
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def _zipped_keys(keys: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, all first bytes first, then all second ones and so on."""
+    return _zipped(np.ascontiguousarray(np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _unzipped_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unzipped(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
 def _unzipped(data: bytes) -> bytes:
@@ -162,7 +192,7 @@ def _units(batches, order: int):
 
 def merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Different keys of a shard in order and their counts over all blocks."""
-    keys = np.frombuffer(b"".join(map(_unzipped, rows.column("keys").to_pylist())), "<i8")
+    keys = np.concatenate([_unzipped_keys(k) for k in rows.column("keys").to_pylist()])
     counts = np.frombuffer(b"".join(map(_unzipped, rows.column("counts").to_pylist())), "<u4")
     order = np.argsort(keys)
     keys = keys[order]
@@ -178,6 +208,20 @@ def contexts(keys: np.ndarray, counts: np.ndarray):
     return np.cumsum(fresh) - 1, np.add.reduceat(counts, first), np.add.reduceat((counts > 0).astype(np.int64), first)
 
 
+def _spread(keys: np.ndarray, values: np.ndarray, kind: int, shards: int) -> np.ndarray:
+    """The value of each key, from those of the different keys, which are in order of shard and key."""
+    keys = keys.astype(np.int64, copy=False)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    dealt, _ = by_shard(ordered[first], kind, shards)
+    value = np.empty(len(first), values.dtype)
+    value[dealt] = values
+    out = np.empty(len(keys), values.dtype)
+    out[order] = np.repeat(value, np.diff(np.append(first, len(keys))))
+    return out
+
+
 LEVEL, NOVEL, SEEN, TOTALS = range(4)
 _MODEL = pa.schema([("what", pa.int32()), ("shard", pa.int32()), ("key", pa.int64()), ("context", pa.int64()), ("count", pa.int64()), ("total", pa.int64()), ("kinds", pa.int64())])
 
@@ -264,7 +308,7 @@ def score(docs: DataFrame, held, order: int = ORDER, id_col: str = "doc_id", tex
             part = _Part(b"".join(texts), [len(t) for t in texts], context, ends, order)
             yield _batch(_FIELDS, block=[block], row=[row], doc_ids=[ids], held=[held_], lengths=[[len(t) for t in texts]],
                          text=[_zipped(b"".join(texts))], context=[context], ends=[ends])
-            out = np.array(held_, np.uint64)
+            out = np.array(held_, np.uint8)
             for kind, keys, at in ((GRAM, part.grams, part.at), (WORD, part.words, part.word_at)):
                 keys, counts = distinct(keys, np.repeat(out, np.diff(at)))
                 dealt, begins = by_shard(keys, kind, shards)
@@ -272,7 +316,7 @@ def score(docs: DataFrame, held, order: int = ORDER, id_col: str = "doc_id", tex
                 some = np.flatnonzero(np.diff(begins))
                 if len(some):
                     yield _batch(_FIELDS, block=[block] * len(some), kind=[kind] * len(some), shard=some,
-                                 keys=[_zipped(keys[begins[s] : begins[s + 1]].astype("<i8")) for s in some],
+                                 keys=[_zipped_keys(keys[begins[s] : begins[s + 1]]) for s in some],
                                  counts=[_zipped(counts[begins[s] : begins[s + 1]]) for s in some])
             block += 1
 
@@ -287,47 +331,46 @@ def score(docs: DataFrame, held, order: int = ORDER, id_col: str = "doc_id", tex
     escaped = _escaped(model, order).withColumn("kind", F.lit(GRAM))
 
     def looked_up(mine, theirs):
-        if not mine.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
-        kind = mine.column("kind")[0].as_py()
-        keys, counts = merged(mine)
-        if kind == GRAM:
-            place, total, _ = contexts(keys, counts)
-            values = np.log10(np.maximum(counts - DISCOUNT, DISCOUNT) / np.maximum(total, 1)[place])
-            values[np.searchsorted(keys, theirs.column("key").to_numpy())] = theirs.column("score").to_numpy()
-        else:
-            values = counts
-        out = [values[np.searchsorted(keys, np.frombuffer(_unzipped(k), "<i8"))].astype("<f8" if kind == GRAM else "<i8") for k in mine.column("keys").to_pylist()]
-        return pa.table({"block": mine.column("block"), "kind": mine.column("kind"), "shard": mine.column("shard"), "values": pa.array(map(_zipped, out), pa.binary())})
-
-    values = keys.groupBy("kind", "shard").cogroup(escaped.groupBy("kind", "shard")).applyInArrow(looked_up, "block long, kind int, shard int, values binary")
+        """Of each block's keys: the count, of numbers also the context's total, and the score where the count is 0."""
+        out = {"counts": [], "totals": [], "scores": []}
+        if mine.num_rows:
+            kind = mine.column("kind")[0].as_py()
+            keys, counts = merged(mine)
+            if kind == GRAM:
+                place, total, _ = contexts(keys, counts)
+                score_of = np.zeros(len(keys))
+                score_of[np.searchsorted(keys, theirs.column("key").to_numpy())] = theirs.column("score").to_numpy()
+            for found in mine.column("keys").to_pylist():
+                at = np.searchsorted(keys, _unzipped_keys(found))
+                out["counts"].append(_zipped(counts[at]))
+                out["totals"].append(_zipped(total[place[at]]) if kind == GRAM else b"")
+                out["scores"].append(_zipped(score_of[at[counts[at] == 0]]) if kind == GRAM else b"")
+        return pa.table({**{c: mine.column(c) for c in ("block", "kind", "shard")}, **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+    values = keys.groupBy("kind", "shard").cogroup(escaped.groupBy("kind", "shard")).applyInArrow(
+        looked_up, "block long, kind int, shard int, counts binary, totals binary, scores binary")
 
     def added(mine, theirs):
         (unit,) = mine.to_pylist()
         part = _Part(_unzipped(unit["text"]), unit["lengths"], unit["context"], unit["ends"], order)
         out = {"row": pa.array(np.arange(len(unit["lengths"])) + unit["row"]), "doc_id": pa.array(unit["doc_ids"], pa.int64()), "held_out": pa.array(unit["held"], pa.bool_())}
         theirs = theirs.sort_by([("kind", "ascending"), ("shard", "ascending")])
-        kinds, data = theirs.column("kind").to_numpy(), theirs.column("values").to_pylist()
-        for kind, own, at in ((GRAM, part.grams, part.at), (WORD, part.words, part.word_at)):
-            found = np.frombuffer(b"".join(_unzipped(d) for d, k in zip(data, kinds) if k == kind), "<f8" if kind == GRAM else "<i8")
-            own = own.astype(np.int64)
-            sorted_ = np.argsort(own)
-            key = own[sorted_]
-            fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            first = np.flatnonzero(fresh)
-            dealt, _ = by_shard(key[first], kind, shards)
-            value = np.empty(len(first), found.dtype)
-            value[dealt] = found
-            each = np.empty(len(own), found.dtype)
-            each[sorted_] = np.repeat(value, np.diff(np.append(first, len(key))))
-            sums = lambda x: np.concatenate([[0], np.cumsum(x)])
-            if kind == GRAM:
-                out["score"] = [float(each[i:j].sum()) for i, j in zip(at[:-1], at[1:])]
-            else:
-                known = sums(each > 0)
-                logs = np.log10((each + 1) / (tokens + vocabulary + 1))
-                out |= {"n_tokens": np.diff(at), "n_known": known[at[1:]] - known[at[:-1]],
-                        "base_score": [float(logs[i:j].sum()) for i, j in zip(at[:-1], at[1:])]}
+        kinds = theirs.column("kind").to_numpy()
+
+        def joined(column, kind, dtype):
+            return np.frombuffer(b"".join(_unzipped(d) for d, k in zip(theirs.column(column).to_pylist(), kinds) if k == kind), dtype)
+
+        counts = joined("counts", GRAM, "<i8")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = np.log10((counts - DISCOUNT) / joined("totals", GRAM, "<i8"))
+        scores[counts == 0] = joined("scores", GRAM, "<f8")
+        each = _spread(part.grams, scores, GRAM, shards)
+        out["score"] = [float(each[i:j].sum()) for i, j in zip(part.at[:-1], part.at[1:])]
+        each, at = _spread(part.words, joined("counts", WORD, "<i8"), WORD, shards), part.word_at
+        known = np.concatenate([[0], np.cumsum(each > 0)])
+        logs = np.log10((each + 1) / (tokens + vocabulary + 1))
+        out |= {"n_tokens": np.diff(at), "n_known": known[at[1:]] - known[at[:-1]],
+                "base_score": [float(logs[i:j].sum()) for i, j in zip(at[:-1], at[1:])]}
         return pa.table(out)
 
     parts = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
