@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specimen_spark.functions.skew import join_spread
 from specimen_spark.functions.text import count_distinct_null_as_value, not_blank
 from specimen_spark.functions.windows import first_per_key, with_position
 from specimen_spark.operators.grade import has_species_rank, is_species_level
@@ -25,13 +26,13 @@ def grade_members(df: DataFrame, grades: DataFrame, grade=None, tie=None) -> Dat
         return df.withColumn("bags_grade", F.lit(None).cast("string")).filter(F.lit(False))
     binned = df.filter(not_blank("bin_uri"))
     ranked = binned.filter(has_species_rank())
-    of_species = ranked.join(wanted, "species")
+    of_species = join_spread(ranked, wanted, "species")
     # reduced to distinct pairs before the join, so a large species costs one pair per BIN
     grade_bins = (
         ranked.select("species", "bin_uri").distinct().join(wanted, "species")
         .select("bin_uri", "bags_grade").distinct()
     )
-    of_bins = binned.filter(~has_species_rank()).join(grade_bins, "bin_uri")
+    of_bins = join_spread(binned.filter(~has_species_rank()), grade_bins, "bin_uri")
     members = of_species.select(*df.columns, "bags_grade").unionByName(
         of_bins.select(*df.columns, "bags_grade")
     )
@@ -57,7 +58,7 @@ def group_by_species(df: DataFrame) -> DataFrame:
         .select(F.col("species").alias("group_species"), "bin_uri")
         .distinct()
     )
-    joined = others.join(species_bins, "bin_uri").select(*df.columns, "group_species")
+    joined = join_spread(others, species_bins, "bin_uri").select(*df.columns, "group_species")
     return (
         named.withColumn("group_species", F.col("species"))
         .unionByName(joined)
@@ -69,7 +70,7 @@ def group_by_species_bin(df: DataFrame) -> DataFrame:
     """Groups of grade C: one per species and BIN, with the other-rank rows of that BIN."""
     named, others = _split(df.filter(not_blank("bin_uri")))
     species_bins = named.select(F.col("species").alias("group_species"), "bin_uri").distinct()
-    joined = others.join(species_bins, "bin_uri").select(*df.columns, "group_species")
+    joined = join_spread(others, species_bins, "bin_uri").select(*df.columns, "group_species")
     return (
         named.withColumn("group_species", F.col("species"))
         .unionByName(joined)

@@ -1,20 +1,25 @@
 """Saved sessions as tables.
 
-Layout: ``root/tables/session_id=<id>/version=<v>/<key>`` holds one dataset per key of a save,
-``root/sessions/session_id=<id>`` a metadata row per save that names its version. The row is
-appended after all tables of its version are complete, so a save that fails leaves the earlier one
-readable, and a session may be saved from its own loaded tables. The version before the
+Layout: ``root/tables/day=<day>/session_id=<id>/version=<v>/<key>`` holds one dataset per key of a save,
+``root/sessions/bucket=<hash of the id>`` a metadata row per save that names its day and version. The
+row is appended after all tables of its version are complete, so a save that fails leaves the earlier
+one readable, and a session may be saved from its own loaded tables. The completed version before the
 current one stays, for frames that still read it; older ones are deleted.
+
+A session is found in its bucket alone. Expiry rewrites the buckets that hold expired sessions by one
+dynamic partition overwrite, and drops whole days of tables; neither grows with the sessions' number.
 """
 
 import json
 import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specimen_spark.functions.storage import children, delete, exists
+from specimen_spark.functions.storage import children, delete, exists, materialize
 from specimen_spark.functions.text import count_distinct_null_as_value, trimws
 from specimen_spark.functions.windows import first_per_key
 
@@ -36,7 +41,18 @@ LIST_COLUMNS = [
 ]
 
 
-VERSION = T.StructField("version", T.StringType())
+#: Partitions of the metadata.
+BUCKETS = 64
+PLACE = [T.StructField("version", T.StringType()), T.StructField("day", T.StringType()), T.StructField("session_id", T.StringType())]
+STORED = T.StructType([*META_SCHEMA.fields, *PLACE])
+
+
+def _bucket(session_id):
+    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
+
+
+def _home(root: str, session_id: str, day: str, version: str) -> str:
+    return f"{root}/tables/day={day}/session_id={session_id}/version={version}"
 
 
 def save_session(root: str, session_id: str, tables: dict, meta: dict, now: str, spark=None) -> None:
@@ -49,54 +65,76 @@ def save_session(root: str, session_id: str, tables: dict, meta: dict, now: str,
         raise ValueError("session_id must be non-empty and without '/'")
     present = {k: df for k, df in tables.items() if df is not None}
     spark = spark or SparkSession.getActiveSession()
-    earlier = _versions(spark, root).filter(F.col("session_id") == session_id).agg(F.min("created_at")).first()[0]
-    version, home = f"{time.time_ns():020d}", f"{root}/tables/session_id={session_id}"
+    earlier = _versions(spark, root, session_id).select("created_at", "day", "version").orderBy("version").collect()
+    version, day = f"{time.time_ns():020d}", now[:10]
+    home = _home(root, session_id, day, version)
     for key, df in present.items():
-        df.write.parquet(f"{home}/version={version}/{key}")
+        df.write.parquet(f"{home}/{key}")
     records = species = 0
     if "specimen_data" in present:
-        counted = spark.read.parquet(f"{home}/version={version}/specimen_data").agg(
+        counted = spark.read.parquet(f"{home}/specimen_data").agg(
             F.count(F.lit(1)).alias("n"),
             count_distinct_null_as_value("species").cast("long").alias("species"),
         ).first()
         records, species = counted["n"], counted["species"]
     taxa = meta.get("search_taxa", "")
+    created = min((r["created_at"] for r in earlier), default=now)
     row = (
-        earlier or now, now, meta.get("email", ""), meta.get("name", ""), meta.get("orcid", ""),
-        records, species, taxa if isinstance(taxa, str) else json.dumps(taxa), version,
+        created, now, meta.get("email", ""), meta.get("name", ""), meta.get("orcid", ""),
+        records, species, taxa if isinstance(taxa, str) else json.dumps(taxa), version, day, session_id,
+    )
+    (
+        spark.createDataFrame([row], STORED).withColumn("bucket", _bucket(F.col("session_id"))).coalesce(1)
+        .write.mode("append").partitionBy("bucket").parquet(f"{root}/sessions")
     )
-    schema = T.StructType([*META_SCHEMA.fields, VERSION])
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{root}/sessions/session_id={session_id}")
-    for old in children(spark, home)[:-2]:
-        delete(spark, f"{home}/{old}")
+    for old in earlier[:-1]:
+        delete(spark, _home(root, session_id, old["day"], old["version"]))
+
+
+def store_sessions(saves: DataFrame, root: str) -> None:
+    """Append metadata rows of saves without tables, as when a listing is taken over."""
+    given = [F.col(c).cast(t.dataType).alias(c) if c in saves.columns else F.lit(None).cast(t.dataType).alias(c)
+             for c, t in ((f.name, f) for f in META_SCHEMA.fields)]
+    rows = saves.select(*given, F.col("updated_at").alias("version"), F.substring("updated_at", 1, 10).alias("day"), "session_id")
+    rows.withColumn("bucket", _bucket(F.col("session_id"))).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{root}/sessions")
 
 
-def _versions(spark: SparkSession, root: str) -> DataFrame:
-    """A row per save that was completed."""
-    schema = T.StructType([*META_SCHEMA.fields, VERSION, T.StructField("session_id", T.StringType())])
+def _versions(spark: SparkSession, root: str, session_id: str | None = None) -> DataFrame:
+    """A row per save that was completed; of one session, from its bucket alone."""
+    schema = T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType())])
     if not exists(spark, f"{root}/sessions"):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/sessions")
+    rows = spark.read.schema(schema).parquet(f"{root}/sessions").filter(F.col("session_id").isNotNull())
+    if session_id is None:
+        return rows
+    bucket = spark.range(1).select(_bucket(F.lit(session_id))).first()[0]
+    return rows.filter((F.col("bucket") == bucket) & (F.col("session_id") == session_id))
 
 
-def _latest(spark: SparkSession, root: str) -> DataFrame:
-    return first_per_key(_versions(spark, root), "session_id", [F.col("version").desc()])
+def _latest(rows: DataFrame) -> DataFrame:
+    return first_per_key(rows, "session_id", [F.col("version").desc()])
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    return rows.select(*META_SCHEMA.fieldNames(), "session_id")
 
 
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
     """The latest save of every session."""
-    return _latest(spark, root).drop("version")
+    return _described(_latest(_versions(spark, root)))
 
 
 def load_session(spark: SparkSession, root: str, session_id: str) -> dict | None:
     """The saved tables by key, a one-row ``metadata`` frame and, if saved, the list
     ``search_taxa``; None for an unknown id."""
-    if not session_id or not exists(spark, f"{root}/sessions/session_id={session_id}"):
+    if not session_id:
         return None
-    latest = _latest(spark, root).filter(F.col("session_id") == session_id)
+    latest = _latest(_versions(spark, root, session_id))
     row = latest.first()
-    state = {"metadata": latest.drop("version")}
-    home = f"{root}/tables/session_id={session_id}/version={row['version']}"
+    if row is None:
+        return None
+    state = {"metadata": _described(latest)}
+    home = _home(root, session_id, row["day"], row["version"])
     for key in children(spark, home):
         state[key] = spark.read.parquet(f"{home}/{key}")
     if row["search_taxa"]:
@@ -151,16 +189,53 @@ def expired_sessions(sessions: DataFrame, now: str, max_age_days: int = 30) -> D
     return sessions.filter(F.col("updated_at") < cutoff)
 
 
+def _cutoff(now: str, max_age_days: int) -> str:
+    return (datetime.fromisoformat(now) - timedelta(days=max_age_days)).isoformat()
+
+
+def _listing(spark: SparkSession, root: str) -> dict[int, list[str]]:
+    """Names of the files of each bucket."""
+    return {b: children(spark, f"{root}/sessions/bucket={b}") for b in range(BUCKETS)}
+
+
 def expire_sessions(spark: SparkSession, root: str, now: str, max_age_days: int = 30) -> int:
-    """Delete expired sessions and their tables; returns how many.
+    """Forget expired sessions and delete their tables; returns how many.
 
-    Only ids come to the driver, a partition at a time; a session goes with two folders. Its
-    metadata goes first, so that no listed session lacks its tables.
+    The rows that stay are written once and then replace the buckets that hold an expired session, each in
+    whole; of the rows that stay, a session keeps its last two. A bucket that gets a save meanwhile is done
+    anew. Then the tables of all days before the cutoff's go, a call for each day: an expired session of the
+    cutoff's own day is no longer found, and its tables go a day later. Only bucket numbers, a count
+    and names of days come to the driver.
     """
-    old = expired_sessions(read_sessions(spark, root), now, max_age_days).select("session_id")
-    removed = 0
-    for row in old.toLocalIterator():
-        for part in ("sessions", "tables"):
-            delete(spark, f"{root}/{part}/session_id={row['session_id']}")
-        removed += 1
-    return removed
+    for _ in range(10):
+        before = _listing(spark, root)
+        rows = _versions(spark, root)
+        order = W.partitionBy("session_id").orderBy(F.col("version").desc())
+        recent = rows.withColumn("_rn", F.row_number().over(order)).filter("_rn <= 2")
+        old = F.max("updated_at").over(W.partitionBy("session_id")) < _cutoff(now, max_age_days)
+        judged = materialize(recent.withColumn("_old", old), "sessions")
+        expired = judged.filter("_old")
+        buckets = [r[0] for r in expired.select("bucket").distinct().collect()]
+        if not buckets:
+            break
+        removed = expired.filter("_rn = 1").count()
+        # A row without an id stands in each bucket, so that one that becomes empty is replaced too.
+        empty = spark.createDataFrame([(b,) for b in buckets], "bucket int")
+        columns = [f.name for f in STORED.fields]
+        stay = judged.filter(~F.col("_old") & F.col("bucket").isin(buckets)).select(*columns, "bucket")
+        marks = empty.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in STORED.fields], "bucket")
+        now_there = _listing(spark, root)
+        if any(before[b] != now_there[b] for b in buckets):
+            continue
+        (
+            stay.unionByName(marks).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+            .option("partitionOverwriteMode", "dynamic").parquet(f"{root}/sessions")
+        )
+        break
+    else:
+        raise RuntimeError("sessions are saved faster than they can be expired")
+    last = _cutoff(now, max_age_days)[:10]
+    for name in children(spark, f"{root}/tables"):
+        if name.startswith("day=") and name[len("day="):] < last:
+            delete(spark, f"{root}/tables/{name}")
+    return removed if buckets else 0

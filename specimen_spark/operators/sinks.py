@@ -130,14 +130,11 @@ def write_fasta(records: DataFrame, path: str) -> None:
 
 # --- bundle and export log --------------------------------------------------------------------
 
-BUNDLE_TABLES = ["Summary", "Specimens", "BIN_Content", "BAGS_Summary", "Quality_Summary"]
-
-
 def write_bundle(tables: dict, path: str, format: str = "parquet") -> DataFrame:
-    """Write the given tables below one path; returns (table, path, records).
+    """Write the given tables below one path; returns (table, path, records, total).
 
-    Rows are counted while they are written, not by a second pass. The manifest is written
-    last, so a bundle without one is incomplete.
+    Rows are counted while they are written, not by a second pass; ``total`` is their sum over the
+    tables. The manifest is written last, so a bundle without one is incomplete.
     """
     present = {n: df for n, df in tables.items() if df is not None}
     if not present:
@@ -150,7 +147,8 @@ def write_bundle(tables: dict, path: str, format: str = "parquet") -> DataFrame:
             format
         ).save(target)
         rows.append((name, target, int(seen.get["n"])))
-    manifest = spark.createDataFrame(rows, "`table` string, path string, records bigint")
+    total = sum(n for _, _, n in rows)
+    manifest = spark.createDataFrame([(*r, total) for r in rows], "`table` string, path string, records bigint, total bigint")
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return manifest
 
@@ -187,7 +185,15 @@ def export_log_entry(spark, entry: dict) -> DataFrame:
 
 
 def append_export_log(spark, path: str, entry: dict) -> None:
-    export_log_entry(spark, entry).coalesce(1).write.mode("append").parquet(path)
+    """One more row in the folder of its day."""
+    row = export_log_entry(spark, entry).withColumn("day", F.to_date("timestamp"))
+    row.coalesce(1).write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_export_log(spark, path: str) -> DataFrame:
+    """All rows with their ``day``; a date range on it reads the folders of those days alone."""
+    declared = T.StructType([*EXPORT_LOG_SCHEMA.fields, T.StructField("day", T.DateType())])
+    return spark.read.schema(declared).parquet(path)
 
 
 def logged_export(spark, audit_path: str, write, frame: DataFrame, path: str, **entry) -> bool:

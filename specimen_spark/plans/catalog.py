@@ -1,11 +1,13 @@
 """Registered queries: one per operator, each over the whole driver tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specimen_spark import rules
 from specimen_spark.functions.session import tune
-from specimen_spark.functions.storage import new_path, written_once
+from specimen_spark.functions.storage import new_path, shared_dir, written_once
 from specimen_spark.operators import (
     annotate, audit, bins, clean, filters, geo, grade, groups, merge, score, sessions, sinks,
     species, validate,
@@ -13,9 +15,9 @@ from specimen_spark.operators import (
 from specimen_spark.plans import curation
 from specimen_spark.plans import fixture as fx
 from specimen_spark.schema import to_file_names
-from specimen_spark.sources import dumps, lists, retrieval
+from specimen_spark.sources import dumps, lists, retrieval, store
 from specimen_spark.streaming import annotations as stream_annotations
-from specimen_spark.streaming.score import stream_score
+from specimen_spark.streaming.score import latest_scores, stream_score
 
 QUERIES = {}
 
@@ -100,7 +102,11 @@ def processid_list(s, d):
 
 def images(s, d):
     """Image rows of the finished lines; a specimen may have several."""
-    lines = fx.table(s, d, "lineitem").filter("l_linestatus = 'F'")
+    return images_from(fx.table(s, d, "lineitem"))
+
+
+def images_from(lineitem):
+    lines = lineitem.filter("l_linestatus = 'F'")
     key = "concat('SP', lpad(cast(l_orderkey as string),8,'0'), '-', cast(l_linenumber as string))"
     return lines.select(
         F.expr(key).alias("processid"), F.expr("cast(l_partkey as string)").alias("objectid")
@@ -188,6 +194,34 @@ def _(s, d):
     return retrieval.expand_bins(current, universe)
 
 
+def stored(s, d) -> store.StoredUniverse:
+    """The universe as a store, written once per application and state of its sources; a bucket per 64 MB."""
+    size = sinks.directory_size(s, f"{d}/lineitem.parquet")
+    buckets = 16 + int(size >> 26)
+    return store.stored_once(raw(s, d), f"{shared_dir(s)}/{s.sparkContext.applicationId}", fx.source(s, d), buckets)
+
+
+@query("src_by_dataset_stored")
+def _(s, d):
+    return stored(s, d).by_recordsets(DATASETS)
+
+
+@query("src_by_project_stored")
+def _(s, d):
+    return stored(s, d).by_recordsets(project_codes(s, d))
+
+
+@query("src_by_taxon_stored")
+def _(s, d):
+    return stored(s, d).by_taxa(taxon_names(s, d))
+
+
+@query("src_bin_expand_stored")
+def _(s, d):
+    current = geo.filter_geo(retrieval.by_datasets(raw(s, d), DATASETS), _region(s, d, "EUROPE"))
+    return stored(s, d).expand_bins(current)
+
+
 @query("src_images")
 def _(s, d):
     return dumps.with_images(imported(s, d), images(s, d)).select("processid", "has_image")
@@ -213,7 +247,11 @@ def _(s, d):
 
 @query("src_continents")
 def _(s, d):
-    return fx.geography(s, d)
+    """The operator over the driver tables' mapping, which has a row per nation."""
+    mapping = {}
+    for continent, country in fx.geography(s, d).collect():
+        mapping.setdefault(continent, []).append(country)
+    return lists.continents(s, mapping)
 
 
 @query("src_annotations")
@@ -519,8 +557,12 @@ def _selections(s, d):
 
 @query("auto_select_if_empty")
 def _(s, d):
-    none = _selections(s, d).filter("processid = ''")
-    return grade.auto_select_if_empty(scored(s, d), none)
+    """Both branches: without selections, and with those of the curators."""
+    held = _selections(s, d)
+    columns = ["branch", "processid", "user"]
+    none = grade.auto_select_if_empty(scored(s, d), held.filter("processid = ''"))
+    some = grade.auto_select_if_empty(scored(s, d), held)
+    return none.withColumn("branch", F.lit("none")).select(columns).union(some.withColumn("branch", F.lit("some")).select(columns))
 
 
 @query("representative_per_species")
@@ -763,12 +805,20 @@ def _(s, d):
     df = scored(s, d)
     tables = {
         "Summary": species.family_summary(df),
-        "Specimens": sinks.export_columns(annotate.annot_merge_export(df, annotations(s, d))),
+        "Specimens": sinks.export_columns(annotate.annot_merge_export(df, annotations(s, d)), sequences=True),
         "BIN_Content": bins.bin_content(df.filter("bin_uri is not null")),
         "BAGS_Summary": grade.bags_grades(df),
         "Quality_Summary": score.quality_metrics(df),
     }
-    return sinks.write_bundle(tables, new_path(s, "bundle")).drop("path")
+    path = new_path(s, "bundle")
+    manifest = sinks.write_bundle(tables, path)
+    # what was written, read back: one figure of each table's contents
+    figures = {
+        "Summary": F.sum("specimen_count"), "Specimens": F.sum(F.length("nuc")), "BIN_Content": F.sum("total_records"),
+        "BAGS_Summary": F.sum("specimen_count"), "Quality_Summary": F.sum("total_specimens"),
+    }
+    read = [s.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("table"), f.cast("long").alias("content")) for n, f in figures.items()]
+    return manifest.drop("path").join(reduce(DataFrame.union, read), "table")
 
 
 @query("out_export_log")
@@ -778,7 +828,7 @@ def _(s, d):
     sinks.logged_export(s, log, sinks.write_fasta, sinks.fasta(imported(s, d)), new_path(s, "fasta"), **good)
     bad = {"export_type": "tsv", "format": "tsv", "file_name": "grades.tsv"}
     sinks.logged_export(s, log, _refuse, grades(s, d), new_path(s, "tsv"), **bad)
-    return s.read.parquet(log).select(
+    return sinks.read_export_log(s, log).select(
         "level", "message", "export_type", "format", "record_count", "success", "error_message"
     )
 
@@ -829,8 +879,12 @@ def _(s, d):
 
 @query("sess_expire")
 def _(s, d):
+    """Metadata of every listed session is stored and expired; what is left comes back."""
     listed = sessions.list_sessions(fx.session_rows(s, d), tie="seq")
-    return sessions.expired_sessions(listed, "2001-06-30T12:00:00", 30)
+    root = new_path(s, "sessions")
+    sessions.store_sessions(listed, root)
+    sessions.expire_sessions(s, root, "2001-06-30T12:00:00", 30)
+    return sessions.read_sessions(s, root).select(*sessions.LIST_COLUMNS)
 
 
 @query("audit_filter")
@@ -887,6 +941,25 @@ def _(s, d):
     return _text_ts(stream_annotations.read_snapshot(s, path))
 
 
+@query("stream_score_images")
+def _(s, d):
+    """Specimens and their images as two streams; what counts in the end."""
+    tables = [fx.table(s, d, t) for t in ("part", "supplier", "nation")]
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("processid"), F.lit(1800)))
+    specimens = fx.specimens_from(_stream(s, d, "lineitem"), *tables).drop("has_image").withColumn("arrived", when)
+    pictures = images_from(_stream(s, d, "lineitem")).withColumn("arrived", when)
+    path = new_path(s, "scored")
+    out = stream_score(specimens, pictures, keys=("processid", "rec_key")).select(
+        "processid", "rec_key", "has_image", "quality_score", "criteria_met", "rank"
+    )
+    (
+        out.writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", new_path(s, "score-checkpoint"))
+        .trigger(**ONCE).start(path).awaitTermination()
+    )
+    return latest_scores(s.read.parquet(path), ("processid", "rec_key"))
+
+
 @query("stream_score")
 def _(s, d):
     tables = [fx.table(s, d, t) for t in ("part", "supplier", "nation")]

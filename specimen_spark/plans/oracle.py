@@ -429,8 +429,11 @@ _SQL = {
     "out_fasta": f"SELECT value, count(*) AS lines FROM (SELECT {_FASTA_HEAD} AS value {_FASTA_ROWS} UNION ALL SELECT nuc {_FASTA_ROWS}) GROUP BY 1",
     "out_fasta_selected": f"SELECT concat({_FASTA_HEAD}, chr(10), nuc) AS record {_FASTA_ROWS} AND processid IN (SELECT processid FROM picked)",
     "out_fasta_full": f"SELECT concat('>', processid, '|', coalesce(species,'NA'), '|', coalesce(bin_uri,'NA'), '|', coalesce(country_ocean,'NA'), '|', coalesce(collection_date_start,'NA'), chr(10), nuc) AS record {_FASTA_ROWS}",
-    "out_bundle": "SELECT 'Summary' AS \"table\", count(DISTINCT family) AS records FROM scored UNION ALL SELECT 'Specimens', count(*) FROM scored "
-    "UNION ALL SELECT 'BIN_Content', count(*) FROM cb_content UNION ALL SELECT 'BAGS_Summary', count(*) FROM grades UNION ALL SELECT 'Quality_Summary', 1",
+    "out_bundle": "SELECT \"table\", records, (sum(records) OVER ())::BIGINT AS total, content::BIGINT AS content FROM ("
+    "SELECT 'Summary' AS \"table\", count(DISTINCT family) AS records, count_if(family IS NOT NULL) AS content FROM scored "
+    "UNION ALL SELECT 'Specimens', count(*), sum(length(nuc)) FROM scored "
+    "UNION ALL SELECT 'BIN_Content', count(*), sum(total_records) FROM cb_content "
+    "UNION ALL SELECT 'BAGS_Summary', count(*), sum(specimen_count) FROM grades UNION ALL SELECT 'Quality_Summary', 1, count(*) FROM scored)",
     "out_export_log": f"SELECT 'EXPORT' AS level, 'Export completed: sequences.fasta' AS message, 'fasta' AS export_type, 'fasta' AS format, count(*) AS record_count, true AS success, NULL::VARCHAR AS error_message {_FASTA_ROWS} "
     "UNION ALL SELECT 'EXPORT', 'Export failed: grades.tsv', 'tsv', 'tsv', 0, false, 'no space'",
     # sessions, audit
@@ -440,7 +443,7 @@ _SQL = {
     "sess_list": "SELECT * FROM listed",
     "sess_filter_user": "SELECT * FROM listed WHERE lower(trim(user_email)) = 'customer.000000017@example.org' OR trim(user_orcid) = '0000-00000025' OR lower(trim(user_name)) = 'customer#000000041' "
     "OR session_id IN (md5('customer.000000017@example.org'), md5('0000-00000025'), md5('customer#000000041'))",
-    "sess_expire": "SELECT * FROM listed WHERE updated_at < '2001-05-31T12:00:00'",
+    "sess_expire": "SELECT * FROM listed WHERE updated_at >= '2001-05-31T12:00:00'",
     "audit_filter": "SELECT * REPLACE (strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp) FROM audit WHERE level = 'WARNING'",
     "audit_export_history": f"SELECT * REPLACE (strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp) FROM (SELECT * FROM audit WHERE {_AUDIT_RANGE} AND export_type = 'tsv' AND format = 'tsv' ORDER BY timestamp DESC, event_id DESC LIMIT 100)",
     "audit_export_stats": "SELECT count(*) AS total_exports, count_if(success) AS successful_exports, round(count_if(success) / count(*) * 100, 1) AS success_rate, sum(record_count)::BIGINT AS total_records_exported, round(sum(file_size) / count(*) / 1048576, 2) AS avg_size_mb "
@@ -448,13 +451,20 @@ _SQL = {
     # streams
     "stream_annot_fold": _ANN,
     "stream_snapshot": _ANN,
+    "stream_score_images": "SELECT processid, rec_key, has_image, quality_score, criteria_met, \"rank\" FROM image_scored",
     "stream_score": "SELECT processid, rec_key, quality_score, criteria_met, \"rank\" FROM stream_scored",
 }
-_SQL["auto_select_if_empty"] = _SQL["auto_select"]
+for _name in ("src_by_dataset", "src_by_project", "src_by_taxon", "src_bin_expand"):
+    _SQL[f"{_name}_stored"] = _SQL[_name]
+_SQL["auto_select_if_empty"] = (
+    f"SELECT 'none' AS branch, processid, \"user\" FROM ({_SQL['auto_select']}) "
+    "UNION ALL SELECT 'some', processid, \"user\" FROM ann WHERE kind = 'selected'"
+)
 
 
 def oracle_sql() -> dict[str, str]:
-    head = "WITH " + _prelude() + ",\n" + _scoring("raw", "stream_scored") + "\n"
+    pictured = "(SELECT * REPLACE (processid IN (SELECT processid FROM imgs) AS has_image) FROM raw)"
+    head = "WITH " + ",\n".join([_prelude(), _scoring("raw", "stream_scored"), _scoring(pictured, "image_scored")]) + "\n"
     return {name: _counts(head + sql) for name, sql in _SQL.items()}
 
 

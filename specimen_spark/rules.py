@@ -72,7 +72,6 @@ IMPORT_NAME_REJECT = r"^sp\.|spp\.|[0-9]|^sp$|aff\.|cf\."
 VALID_NAME_REJECT = r"sp\.|spp\.|[0-9]|^sp$|aff\.|cf\."
 CONCORDANCE_NAME_REJECT = r"sp\.|spp\.|cf\.|aff\."
 SPECIES_LIST_REJECT = r"sp\.|spp\."
-QUALIFIED_NAME = r"cf\.|aff\."
 BINOMIAL = r"^\S+\s+\S+"
 SPECIES_RANKS = ["species", "subspecies"]
 

@@ -6,6 +6,7 @@ The whole list runs with ``python tests/check_queries.py``.
 import pytest
 
 import __spark_entry__ as entry_point
+from specimen_spark.plans import catalog, oracle
 from tests.check_queries import compare, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -24,8 +25,9 @@ def con():
 
 
 def test_every_query_has_check_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
-    assert len(entry_point.queries()) >= 119
+    assert set(catalog.QUERIES) == set(oracle.oracle_sql())
+    assert len(catalog.QUERIES) >= 119
+    assert set(entry_point.queries()) >= set(catalog.QUERIES) and set(entry_point.oracle_sql()) >= set(catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)

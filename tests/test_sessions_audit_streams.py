@@ -30,7 +30,7 @@ def test_session_round_trip(spark, tmp_path):
     assert sessions.expire_sessions(spark, root, "2024-03-15T00:00:00", 30) == 1
     assert sessions.load_session(spark, root, "s1") is None
     assert values(sessions.read_sessions(spark, root), "session_id") == ["s2"]
-    assert not (tmp_path / "tables" / "session_id=s1").exists()
+    assert not list((tmp_path / "tables").glob("*/session_id=s1"))
 
 
 def test_a_session_is_saved_from_its_own_tables(spark, tmp_path):
@@ -54,6 +54,41 @@ def test_a_session_is_saved_from_its_own_tables(spark, tmp_path):
     assert one(sessions.read_sessions(spark, root))["updated_at"] == "2024-02-03T00:00:00"
 
 
+def test_expiry_of_many_sessions(spark, tmp_path):
+    """Jobs, driver calls and rewritten buckets do not grow with the sessions."""
+    root = str(tmp_path)
+    for name, day in (("kept", "2024-03-10"), ("edge", "2024-02-14"), ("gone", "2024-02-01")):
+        sessions.save_session(root, name, {"specimen_data": spark.range(3).selectExpr("string(id) species")}, WHO, f"{day}T00:00:00", spark)
+    many = spark.range(100_000).selectExpr(
+        "'2024-01-01T00:00:00' created_at", "concat('2024-01-0', 1 + id % 9, 'T00:00:00') updated_at", "'' user_email", "'' user_name", "'' user_orcid",
+        "0L specimen_count", "0L species_count", "'' search_taxa", "string(id) version", "concat('2024-01-0', 1 + id % 9) day", "concat('s', id) session_id")
+    many.withColumn("bucket", sessions._bucket(F.col("session_id"))).write.mode("append").partitionBy("bucket").parquet(f"{root}/sessions")
+    calls, real = [], sessions.delete
+    sessions.delete = lambda s, p: (calls.append(p), real(s, p))
+    try:
+        assert sessions.expire_sessions(spark, root, "2024-03-15T00:00:00", 30) == 100_001
+    finally:
+        sessions.delete = real
+    assert len(calls) == 1
+    assert sorted(values(sessions.read_sessions(spark, root), "session_id")) == ["edge", "kept"]
+    assert sessions.load_session(spark, root, "gone") is None and sessions.load_session(spark, root, "kept")["specimen_data"].count() == 3
+    assert sessions.expire_sessions(spark, root, "2024-03-15T00:00:00", 30) == 0
+    assert sessions.expire_sessions(spark, root, "2030-01-01T00:00:00", 30) == 2
+    assert sessions.read_sessions(spark, root).count() == 0 and not list((tmp_path / "tables").iterdir())
+
+
+def test_a_failed_save_between_two_keeps_the_earlier_version(spark, tmp_path):
+    root, df = str(tmp_path), spark.range(4).selectExpr("string(id) species")
+    sessions.save_session(root, "s", {"specimen_data": df}, WHO, "2024-01-01T00:00:00", spark)
+    read = sessions.load_session(spark, root, "s")["specimen_data"]
+    try:
+        sessions.save_session(root, "s", {"specimen_data": df.withColumn("species", F.raise_error(F.lit("no")))}, WHO, "2024-01-02T00:00:00", spark)
+    except Exception as error:
+        assert "no" in str(error)
+    sessions.save_session(root, "s", {"specimen_data": df.limit(1)}, WHO, "2024-01-03T00:00:00", spark)
+    assert read.count() == 4 and sessions.load_session(spark, root, "s")["specimen_data"].count() == 1
+
+
 def test_filter_by_user(spark):
     md5 = spark.sql("select md5('ann lee')").first()[0]
     rows = [("a", "curator@x.org", "Zed", ""), ("b", "", "ann lee ", ""), ("c", "", "", "0000-1"), (md5, "", "", ""), ("d", "", "", "")]
@@ -102,7 +137,7 @@ def _state(df):
 def test_stream_fold_equals_batch_fold(spark, tmp_path):
     events = _edit_batches(spark, tmp_path)
     stream.stream_annot_fold(events, str(tmp_path / "out"), str(tmp_path / "cp"), ONCE).awaitTermination()
-    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    assert len(list((tmp_path / "out").glob("batch-*"))) == 3
     want = _state(annotate.annot_fold(spark.createDataFrame(EDITS, EDIT_SCHEMA)))
     assert _state(stream.read_folded(spark, str(tmp_path / "out"))) == want
     # later edits continue from the checkpoint; a late edit does not revive a cleared value
@@ -132,15 +167,6 @@ def test_snapshot_of_cleared_state_is_empty(spark, tmp_path):
     assert stream.read_snapshot(spark, str(tmp_path / "out")).count() == 0
 
 
-def test_log_is_merged(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(stream, "COMPACT", 2)
-    events = _edit_batches(spark, tmp_path)
-    stream.stream_annot_fold(events, str(tmp_path / "out"), str(tmp_path / "cp"), ONCE).awaitTermination()
-    assert sorted(p.name for p in (tmp_path / "out").glob("*=*")) == ["batch=2", "merged=1"]
-    want = _state(annotate.annot_fold(spark.createDataFrame(EDITS, EDIT_SCHEMA)))
-    assert _state(stream.read_folded(spark, str(tmp_path / "out"))) == want
-
-
 def test_stream_score_equals_batch(spark, tmp_path):
     df = full_specimens(spark, {}, {"nuc_basecount": "n/a"}, {"species": "Aus sp."})
     df.write.parquet(str(tmp_path / "in"))
@@ -151,3 +177,28 @@ def test_stream_score_equals_batch(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(**ONCE).start(str(tmp_path / "out")).awaitTermination()
     )
     assert by_key(spark.read.parquet(str(tmp_path / "out"))) == by_key(score.process_specimens(df, images))
+
+
+def test_export_log_pages_and_days(spark, tmp_path):
+    from specimen_spark.operators import sinks
+
+    log = str(tmp_path / "log")
+    rows = [(dt.datetime(2024, 1, 1 + i // 4, 10, i % 2), "EXPORT", f"f{i:02d}", "tsv", "tsv", i, 1, True, dt.date(2024, 1, 1 + i // 4)) for i in range(20)]
+    frame = spark.createDataFrame(rows, "timestamp timestamp, level string, file_name string, export_type string, format string, record_count long, file_size long, success boolean, day date")
+    frame.write.partitionBy("day").parquet(log)
+    sinks.append_export_log(spark, log, {"timestamp": dt.datetime(2024, 1, 6, 9), "file_name": "last", "export_type": "tsv", "format": "tsv", "success": True})
+    stored = sinks.read_export_log(spark, log)
+    assert stored.count() == 21
+    ranged = audit.export_history(stored, "2024-01-02", "2024-01-03", tie="file_name")
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and ranged.count() == 8
+    seen, key = [], None
+    while True:
+        page = audit.export_history(stored, limit=6, tie="file_name", after=key)
+        found = values(page, "file_name")
+        if not found:
+            break
+        seen += found
+        key = audit.page_key(page, "file_name")
+    assert seen == values(audit.export_history(stored, tie="file_name"), "file_name") and len(seen) == 21
+    assert audit.page_key(stored.limit(0)) is None
