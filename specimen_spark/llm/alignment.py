@@ -30,7 +30,7 @@ from specimen_spark.llm.packing import _byte_units
 from specimen_spark.llm.words import _SPACE, text_bytes
 
 #: Bytes of text that a task tokenizes and walks at once; a longer text goes in parts of this size.
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 #: Bytes of a document's part in the state vector.
 LANE = 2048
 #: How a byte-level file splits text before merging: a fixed value of that format.
