@@ -2,8 +2,8 @@
 
 A line is a run of words. Two lines match if they are equal or one word was replaced, inserted or
 deleted. A line goes if it matches a line that stands earlier (smaller doc_id, then line number);
-this is judged on the input. Lines of fewer than ``min_words`` words have no near copies; with
-``short_copies`` they go if an earlier line has the same words, else they are left alone.
+this is judged on the input. Lines of fewer than ``min_words`` words have no near copies: they go if
+an earlier line has the same words.
 
 Emitting one variant per word of every line would multiply the corpus, so variants come at two
 levels. Level 1 leaves out one of ``SEGMENTS`` parts of a line: a matching pair agrees on all parts
@@ -179,11 +179,10 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (rest_long == rest_short)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All documents with ``n_lines``, ``n_removed`` and the text of the lines that stay.
 
-    Null text has no lines and stays null; lines without words stay, shorter ones than
-    ``min_words`` too unless ``short_copies`` lets exact copies of them go; line order is kept. Other
+    Null text has no lines and stays null; lines without words stay; line order is kept. Other
     columns pass through, whatever their names. An empty table gives no rows.
     """
     lines = staged(long_lines(docs, min_words), "lines")
@@ -194,12 +193,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool
         .select("key", "first", F.col("gone").isNull().alias("stays")),
         "staying_lines",
     )
-    lines = lines.select("lid", "d", "t", "l")
-    if short_copies:
-        short = staged(short_lines(docs, min_words), "short_lines")
-        earliest = short.groupBy(F.col("lid").alias("key")).agg(F.min(F.struct("d", "t", "l")).alias("first"))
-        stay = stay.union(staged(earliest.withColumn("stays", F.lit(True)), "short_firsts"))
-        lines = lines.union(short.select("lid", "d", "t", "l"))
+    short = staged(short_lines(docs, min_words), "short_lines")
+    earliest = short.groupBy(F.col("lid").alias("key")).agg(F.min(F.struct("d", "t", "l")).alias("first"))
+    stay = stay.union(staged(earliest.withColumn("stays", F.lit(True)), "short_firsts"))
+    lines = lines.select("lid", "d", "t", "l").union(short.select("lid", "d", "t", "l"))
     lost = staged(
         lines.join(stay, F.col("lid") == F.col("key"))
         .filter(~(F.col("stays") & (F.struct("d", "t", "l") == F.col("first"))))
@@ -228,7 +225,8 @@ with l as (
   select doc_id, i - 1 l, ls[i] line,
     list_filter(regexp_split_to_array(lower(ls[i]), ' +'), lambda x: x <> '') w
   from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, string_split(text, chr(10)) ls from documents where text is not null))),
-f as (select w, min((doc_id, l)) first from l where len(w) >= 8 group by w),
+every as (select w, min((doc_id, l)) first from l where len(w) >= 1 group by w),
+f as (select * from every where len(w) >= 8),
 v as (select w, first, len(w) n, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') rest from (select *, unnest(range(1, len(w) + 1)) i from f)),
 gone as (
   select distinct w from (
@@ -238,8 +236,8 @@ gone as (
     union all
     select b.w from v a join f b on a.rest = array_to_string(b.w, ' ') and a.n = len(b.w) + 1 where a.first < b.first)),
 k as (
-  select doc_id, l.l, line, len(l.w) < 8 or ((doc_id, l.l) = f.first and not exists (select 1 from gone where gone.w = l.w)) stay
-  from l left join f on l.w = f.w),
+  select doc_id, l.l, line, len(l.w) = 0 or ((doc_id, l.l) = f.first and not exists (select 1 from gone where gone.w = l.w)) stay
+  from l left join every f on l.w = f.w),
 g as (
   select doc_id, count(*) n_lines, sum(case when stay then 0 else 1 end)::bigint n_removed,
     sha256(coalesce(string_agg(line, chr(10) order by l) filter (where stay), '')) kept_sha256 from k group by doc_id)

@@ -129,15 +129,16 @@ def line_dedup(docs, min_words=8):
         for at, line in enumerate([] if t is None else t.split("\n")):
             w = tuple(x for x in line.lower().split(" ") if x)
             lines[i, t].append((line, w, at))
-            if len(w) >= min_words:
+            if w:
                 p = place(i, t, at)
                 first[w] = min(first.get(w, p), p)
-    gone = {w for w in first if any(first[v] < first[w] and one_word_apart(w, v) for v in first)}
+    long = [w for w in first if len(w) >= min_words]
+    gone = {w for w in long if any(first[v] < first[w] and one_word_apart(w, v) for v in long)}
     out = []
     for i, t in docs:
         found = lines.get((i, t), []) if t is not None else []
         found = found[: len(t.split("\n"))] if t is not None else []
-        kept = [x for x, w, at in found if len(w) < min_words or (first[w] == place(i, t, at) and w not in gone)]
+        kept = [x for x, w, at in found if not w or (first[w] == place(i, t, at) and w not in gone)]
         out.append((i, len(found), len(found) - len(kept), None if t is None else "\n".join(kept)))
     return out
 

@@ -41,7 +41,7 @@ def test_exact_copies_of_short_lines_go(spark):
     rows = [cases.doc(2, "\n".join([one, near, "", "ok", cases.SENTENCE])), cases.doc(1, "home about us\n \nfirst"),
             cases.doc(3, "OK\n\n" + near + "\nlast " + cases.SENTENCE), cases.doc(None, "ok\nown"), cases.doc(4, None)]
     docs = cases.documents(spark, rows)
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.dedup_lines(docs, short_copies=True).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.dedup_lines(docs).collect()}
     assert got == {1: (3, 0, "home about us\n \nfirst"), 2: (5, 1, "\n".join([near, "", "ok", cases.SENTENCE])),
                    3: (4, 3, ""), None: (2, 1, "own"), 4: (0, 0, None)}
     kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
