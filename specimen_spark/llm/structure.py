@@ -167,21 +167,21 @@ _SPACES = "' \\t\\n\\u000B\\f\\r'"
 _ROW = "conv_id long, turn long, role string, text string, n long, fault string, place long, edits string, cost long, repaired array<string>"
 
 
-def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
+def repair(turns: DataFrame, costs: Costs = Costs(), count: str | None = None) -> DataFrame:
     """A row per different row: conv_id, turn, role, text, n, fault, place, edits, cost, repaired.
 
-    ``turns`` has conv_id, turn, role and text; an optional column ``n`` says how often a row stands there. Rows
+    ``turns`` has conv_id, turn, role and text; a column named by ``count`` says how often a row stands there. Rows
     are taken by turn (null first), then role and text; equal ones stand together and count as ``n``.
     ``fault`` is the first copy's: blank, duplicate (role and text stood earlier), truncated (the last
     character other than white space is not one of `.!?`) or empty; further copies are duplicates, or blank.
     ``place`` orders the rows. ``edits`` are the initials of what is done before, to and behind the row,
     ``repaired`` the turns that it leaves as `role:text`. Null role and text are one space, a null conv_id is a
-    conversation. A row with ``n`` 0 only says that its conversation exists. An empty table gives no
+    conversation. A row with a count of 0 only says that its conversation exists. An empty table gives no
     rows; other columns are not read.
     """
     prepared(turns.sparkSession)
     repairer = Repairer(costs)
-    n = F.col("n").cast("long") if "n" in turns.columns else F.lit(1).cast("long")
+    n = (F.col(count) if count else F.lit(1)).cast("long")
     plain = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit(" ")).alias("role"),
                          F.coalesce("text", F.lit(" ")).alias("text"), n.alias("n"))
     there = F.col("n") > 0
@@ -324,4 +324,4 @@ def _digests(rows: list) -> pa.RecordBatch:
 
 def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged as the contract says and repaired."""
-    return digest(repair(damaged(table(spark, sf_dir, "conversations"))))
+    return digest(repair(damaged(table(spark, sf_dir, "conversations")), count="n"))

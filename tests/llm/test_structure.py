@@ -10,7 +10,7 @@ from specimen_spark.llm import structure
 
 LEGAL = re.compile("(s?(ua)+)?")
 SF = "/root/testdata/sf0.01"
-SCHEMA = "conv_id long, turn long, role string, text string, place string, segment string, fault string, c string"
+SCHEMA = "conv_id long, turn long, role string, text string, place string, segment string, fault string, n string"
 
 
 def rows_after_damage(rows):
@@ -150,18 +150,18 @@ def test_damaged_conversations(spark):
     from tests.llm.cases import same
 
     for frame in (turns, turns.repartition(7)):
-        got = structure.digest(structure.repair(structure.damaged(frame))).collect()
+        got = structure.digest(structure.repair(structure.damaged(frame), count="n")).collect()
         same(got, expected(rows))
     gone = [r for r in got if r.audit == ""]
     assert gone and all(r.repaired_sha256 == hashlib.sha256(b"").hexdigest() and not any(r[1:7]) for r in gone)
-    assert structure.digest(structure.repair(structure.damaged(turns.limit(0)))).count() == 0
+    assert structure.digest(structure.repair(structure.damaged(turns.limit(0)), count="n")).count() == 0
 
 
 def test_one_conversation_over_many_segments(spark):
     random.seed(14)
     rows = [(1, t, random.choice(["user", "assistant", "system"]), random.choice(["a.", "b", f"own {t}.", f"own {t}", ""])) for t in range(3000)]
     turns = spark.createDataFrame([(*r, *"abcd") for r in rows], SCHEMA).repartition(16)
-    (got,) = structure.digest(structure.repair(structure.damaged(turns))).collect()
+    (got,) = structure.digest(structure.repair(structure.damaged(turns), count="n")).collect()
     assert tuple(got) == expected(rows)[0]
     assert structure.repair(turns).filter("n > 0").count() == 3000
 
