@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specimen_spark.functions.storage import materialize
+from specimen_spark.functions.storage import delete, materialize
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -49,6 +49,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``staged`` wrote, once a table that was made from them is written."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            delete(df.sparkSession, os.path.dirname(files[0]))
+
+
 def without(docs: DataFrame, mark: str, bad: DataFrame) -> DataFrame:
     """The rows whose ``mark``, an expression over ``row.<column>``, is not in the one column of ``bad``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specimen_spark.llm.common import staged
+from specimen_spark.llm.common import release, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,14 +32,17 @@ def components(links: DataFrame) -> DataFrame:
         left = least.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = least.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         mapped = edges.join(left, "a").join(right, "b")
-        edges = staged(
+        before, edges = edges, staged(
             mapped.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct(),
             "links",
         )
+        release(before)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0].select("node", F.col("to").alias("root"))
     for step in steps[1:]:
         nxt = step.select(F.col("node").alias("root"), "to")
         out = out.join(nxt, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return staged(out, "components")
+    found = staged(out, "components")
+    release(edges, *steps)
+    return found

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm.common import batches_of, prepared, staged, table, without
+from specimen_spark.llm.common import batches_of, prepared, release, staged, table, without
 from specimen_spark.llm.components import components
 from specimen_spark.llm.words import CHUNK, Words, gram_hash, mix
 
@@ -243,14 +243,15 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    pairs = staged(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
     sets = staged(packed_sets(docs, needed.select("rep", "cls"), shingle), "sets")
-    pairs = staged(likely(pairs, sets, percent), "likely")
+    close = staged(likely(pairs, sets, percent), "likely")
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return staged(both.mapInArrow(run, "a long, b long"), "verified")
+    both = close.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    found = staged(both.mapInArrow(run, "a long, b long"), "verified")
+    release(sets, close)
+    return found
 
 
 def mixed_entries(index: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -270,7 +271,9 @@ def mixed_entries(index: DataFrame, roots: DataFrame | None) -> DataFrame:
         F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp", "low", "high")).alias("top")
     ).filter("comps > 1").select(F.col("gram").alias("g"), F.col("top.comp").alias("main"), "top.m", "top.low", "top.high")
     mixed = staged(mixed, "mixed_lists")
-    return staged(known.join(mixed, F.col("gram") == F.col("g")).drop("g"), "mixed_entries")
+    entries = staged(known.join(mixed, F.col("gram") == F.col("g")).drop("g"), "mixed_entries")
+    release(mixed, *([] if roots is None else [known]))
+    return entries
 
 
 def pairs_with_main(entries: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -298,15 +301,23 @@ def pairs_across(entries: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, frequent: tuple, shingle: int, percent: int) -> DataFrame:
     """(node, root) of every class that has a link."""
     index = staged(shared_only(prefixes(docs, frequent, shingle, percent)), "index")
-    links, roots = None, None
+    links, roots, tried = None, None, None
     for k in range(MAIN_ROUNDS + 1):
         entries = mixed_entries(index, roots)
         pairs = pairs_with_main(entries, percent, k) if k < MAIN_ROUNDS else pairs_across(entries, percent)
-        found = verified(pairs, docs, classes, shingle, percent)
+        pairs = pairs.distinct()
+        # A pair that an earlier round compared has its answer.
+        fresh = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        release(entries)
+        tried = fresh if tried is None else tried.union(fresh)
+        found = verified(fresh, docs, classes, shingle, percent)
         if links is not None and found.isEmpty():
             continue
         links = found if links is None else links.union(found)
+        if roots is not None:
+            release(roots)
         roots = components(links)
+    release(index)
     return roots
 
 
@@ -354,26 +365,11 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that lead their group: of linked documents the one with the smallest doc_id.
-
-    Documents without words stay. Repeated rows of the leading document stay together; of several
-    texts under one id in one group, all stay.
-    """
-    found = linked(docs, shingle, percent)
-    gone = staged(
-        found.filter("n_shingles > 0 and component_id < coalesce(doc_id, 9223372036854775807)")
-        .select("doc_id").distinct(),
-        "not_leading",
-    )
-    return without(docs, "cast(row.doc_id as long)", gone)
-
-
 def keep_leaders(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The first document of each group of linked ones: smallest doc_id, null last, then least mark.
 
-    Unlike ``keep_one``, which drops all rows under an id, this tells rows by doc_id and text: of two
-    texts under one id, or of rows with a null id, only those go that a row before them is linked to.
+    Rows are told by doc_id and text: of two texts under one id, or of rows with a null id, only those
+    go that a row before them is linked to.
     Documents without words stay; repeated rows of the first document stay together.
     """
     gone = staged(linked(docs, shingle, percent).filter("mark <> lead").select("mark").distinct(), "not_first")

@@ -125,10 +125,11 @@ def test_lines_one_word_apart(spark):
 def test_jaccard(docs):
     rows = jaccard.linked(docs).select("doc_id", "n_shingles", "component_id").collect()
     cases.same(rows, cases.linked(pairs(docs)))
-    kept = jaccard.keep_one(docs)
+    kept = jaccard.keep_leaders(docs)
     assert kept.columns == docs.columns
-    gone = {d for d, n, c in cases.linked(pairs(docs)) if n and c is not None and (d is None or c < d)}
-    cases.same(pairs(kept), [x for x in pairs(docs) if x[0] not in gone])
+    leads = {(d, t) for (d, t), (_, n, c) in zip(pairs(docs), cases.linked(pairs(docs))) if n and c == d}
+    wordless = [x for x, (_, n, _) in zip(pairs(docs), cases.linked(pairs(docs))) if not n]
+    cases.same(pairs(kept), [x for x in pairs(docs) if x in leads] + wordless)
 
 
 def test_jaccard_chain_of_many_near_copies(spark):
