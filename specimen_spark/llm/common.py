@@ -52,9 +52,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete tables that ``staged`` wrote, once a table that was made from them is written."""
     for df in frames:
-        files = df.inputFiles()
-        if files:
-            delete(df.sparkSession, os.path.dirname(files[0]))
+        for folder in {os.path.dirname(file) for file in df.inputFiles()}:
+            delete(df.sparkSession, folder)
 
 
 def without(docs: DataFrame, mark: str, bad: DataFrame) -> DataFrame:

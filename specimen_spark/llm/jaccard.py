@@ -6,15 +6,18 @@ works on classes.
 * Shingles are ordered by how often they occur, rare first. Two sets that reach the threshold share a
   shingle among the first ``n - ceil(0.75 n) + 1`` of each (the prefix), so only prefixes are
   shuffled, and only shingles found in two classes' prefixes stay in the index.
-* Index skipping: a list is ordered by set size and each entry has its place in its set. Size and the
-  number of shingles left after that place bound the overlap; entries out of bounds are skipped.
+* Index skipping: lists are cut into blocks by set size and by place, the number of shingles of a
+  set before the list's. Size and what is left after that place bound the overlap: an
+  entry is joined only to blocks that hold a set within its bounds, and skips the others.
 * Sketches of 512 bytes rule out most remaining pairs, by a bound that loses none; only pairs that
   stay have their whole sets compared.
-* Answer reuse: sets linked so far have one answer, their component (at first each set is its own).
-  In each list, entries outside the list's main component are first compared with a few of its sets
-  only; after ``MAIN_ROUNDS`` such rounds all entries of different components are compared, and pairs
-  inside a component never. So a group of near copies costs comparisons in proportion to its size,
-  and no link between components is lost.
+* Answer reuse: a set's answer is derived from that of the sets most like it. Sets linked so far have one
+  answer, their component (at first each set is its own). In each list, entries outside the list's
+  main component are first compared with its hubs only, its sets with the least place: those have the
+  fewest shingles of their own and are the likeliest to be linked. A set linked to a hub takes the hub's answer. After
+  such rounds all entries of different components are compared, and pairs inside a component never, nor a
+  pair twice. So a group of near copies costs comparisons in proportion to its size, and no link
+  between components is lost.
 
 The order of shingles only affects cost: any order gives the same links.
 """
@@ -38,6 +41,10 @@ FREQUENT = 100_000
 COUNTED = 200_000
 #: Rounds that compare with the main component of a list before the rest is compared in full.
 MAIN_ROUNDS = 3
+#: Sets of a list's main component that others are compared with in such a round.
+HUBS = 4
+#: Blocks of an index list for sizes that differ by a factor of e, and for a reach as large as the set.
+BLOCKS = 12
 #: Bits of the sketch that rules pairs out before whole sets are compared.
 SKETCH = 4096
 
@@ -256,7 +263,12 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
 
 def mixed_entries(index: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Entries, with their component, of lists that hold several; ``main`` is the component with most
-    entries of the list, ``low`` and ``high`` its smallest and largest set there."""
+    entries of the list, ``hubs`` those of its sets that stand out there.
+
+    A hub is the set with the least place among those of the same hash modulo ``HUBS``: few of its shingles
+    are rarer than the list's, so it lies in the middle of a group of near copies, and no place
+    leaves more of a set to be shared.
+    """
     if roots is None:
         known = index.withColumn("comp", F.col("cls"))
     else:
@@ -265,59 +277,73 @@ def mixed_entries(index: DataFrame, roots: DataFrame | None) -> DataFrame:
                 "gram", "cls", "n", "place", F.coalesce("root", "cls").alias("comp")),
             "index_components",
         )
-    entry = F.struct("n", "cls", "place")
-    per = known.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("m"), F.min(entry).alias("low"), F.max(entry).alias("high"))
-    mixed = per.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp", "low", "high")).alias("top")
-    ).filter("comps > 1").select(F.col("gram").alias("g"), F.col("top.comp").alias("main"), "top.m", "top.low", "top.high")
+    entry = F.struct("place", "n", "cls")
+    hubs = [F.min(F.when(F.pmod("cls", F.lit(HUBS)) == i, entry)).alias(f"hub{i}") for i in range(HUBS)]
+    per = known.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("m"), *hubs).select(
+        "gram", "comp", "m", F.array_compact(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hubs"))
+    first = F.struct("m", (-F.array_min("hubs.place")).alias("place"), "comp", "hubs")
+    mixed = per.groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max(first).alias("top")).filter("comps > 1").select(
+        F.col("gram").alias("g"), F.col("top.comp").alias("main"), "top.hubs")
     mixed = staged(mixed, "mixed_lists")
     entries = staged(known.join(mixed, F.col("gram") == F.col("g")).drop("g"), "mixed_entries")
     release(mixed, *([] if roots is None else [known]))
     return entries
 
 
-def pairs_with_main(entries: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Entries outside their list's main component, paired with a few of its sets: the smallest, the
-    largest, and those that fall into the same of m / 2 buckets, about two of m, by a hash."""
-    ends = entries.filter("comp <> main").select("cls", "n", "place", F.explode(F.array("low", "high")).alias("o"))
-    bucket = F.pmod(F.xxhash64("cls", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("m") / 2)))
-    dealt = entries.withColumn("bucket", bucket)
-    some = dealt.filter("comp = main").select("gram", "bucket", F.struct("n", "cls", "place").alias("o"))
-    drawn = dealt.filter("comp <> main").join(some, ["gram", "bucket"]).select("cls", "n", "place", "o")
-    return ends.union(drawn).filter(
+def pairs_with_main(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries outside their list's main component, paired with its hubs there."""
+    return entries.filter("comp <> main").select("cls", "n", "place", F.explode("hubs").alias("o")).filter(
         _possible(F.col("n"), F.col("place"), F.col("o.n"), F.col("o.place"), percent)
     ).select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"))
 
 
 def pairs_across(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of entries of different components that bounds don't rule out."""
-    minor = entries.filter("comp <> main").select("gram", *[F.col(c).alias(c + "2") for c in ("cls", "n", "place", "comp")])
-    return entries.select("gram", "cls", "n", "place", "comp", "main").join(minor, "gram").filter(
+    """All pairs of entries of different components that bounds don't rule out.
+
+    A set's reach is the largest size of another set that this place leaves open. Each list is
+    cut into blocks of near sizes and near reach, and a summary of a block is its least size and
+    largest reach: an entry is sent only to blocks whose summary it fits, all others are skipped.
+    """
+    reach = F.floor((F.col("n") - F.col("place")).cast("long") * (100 + percent) / percent) - F.col("n")
+    block = F.struct(
+        F.floor(F.log("n") * BLOCKS).alias("size"), F.floor(F.col("reach") * BLOCKS / F.col("n")).alias("room"))
+    cut = entries.select("gram", "cls", "n", "comp", "main", reach.alias("reach")).withColumn("block", block)
+    summary = cut.groupBy("gram", "block").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    blocks = summary.groupBy(F.col("gram").alias("g")).agg(F.collect_list(F.struct("block", "least", "most")).alias("blocks"))
+    minor = cut.filter("comp <> main").join(blocks, F.col("gram") == F.col("g")).select(
+        F.col("gram").alias("gram2"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("reach").alias("reach2"),
+        F.col("comp").alias("comp2"),
+        F.explode(F.filter("blocks", lambda b: (b.least <= F.col("reach")) & (F.col("n") <= b.most))).alias("to"))
+    return cut.join(minor, (F.col("gram") == F.col("gram2")) & (F.col("block") == F.col("to.block"))).filter(
         (F.col("comp") != F.col("comp2")) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("cls2")))
-        & _possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent)
+        & (F.col("n2") <= F.col("reach")) & (F.col("n") <= F.col("reach2"))
     ).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, frequent: tuple, shingle: int, percent: int) -> DataFrame:
     """(node, root) of every class that has a link."""
     index = staged(shared_only(prefixes(docs, frequent, shingle, percent)), "index")
-    links, roots, tried = None, None, None
-    for k in range(MAIN_ROUNDS + 1):
-        entries = mixed_entries(index, roots)
-        pairs = pairs_with_main(entries, percent, k) if k < MAIN_ROUNDS else pairs_across(entries, percent)
+    entries, links, roots, tried = mixed_entries(index, None), None, None, None
+    turn = 0
+    while turn <= MAIN_ROUNDS:
+        pairs = pairs_with_main(entries, percent) if turn < MAIN_ROUNDS else pairs_across(entries, percent)
         pairs = pairs.distinct()
         # A pair that an earlier round compared has its answer.
         fresh = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        release(entries)
         tried = fresh if tried is None else tried.union(fresh)
         found = verified(fresh, docs, classes, shingle, percent)
-        if links is not None and found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        if roots is not None:
-            release(roots)
-        roots = components(links)
-    release(index)
+        news = links is None or not found.isEmpty()
+        if news:
+            links = found if links is None else links.union(found)
+            if roots is not None:
+                release(roots)
+            roots = components(links)
+        # Without new links the hubs are the same as before: the rest is compared in full.
+        turn = turn + 1 if news else max(turn + 1, MAIN_ROUNDS)
+        if news and turn <= MAIN_ROUNDS:
+            release(entries)
+            entries = mixed_entries(index, roots)
+    release(index, entries, tried, links)
     return roots
 
 

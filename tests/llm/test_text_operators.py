@@ -132,6 +132,48 @@ def test_jaccard(docs):
     cases.same(pairs(kept), [x for x in pairs(docs) if x in leads] + wordless)
 
 
+def counted_pairs(monkeypatch):
+    """Numbers of pairs that the join's rounds compare, filled as it runs."""
+    made, write = [], jaccard.staged
+
+    def staged(df, name):
+        out = write(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", staged)
+    return made
+
+
+def test_jaccard_compares_a_group_of_copies_with_its_hubs(spark, monkeypatch):
+    """Copies with up to a quarter of their shingles changed: few links are left for the full round."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for doc in range(400):
+        words = list(base)
+        for at in rng.choice(120, rng.integers(0, 6), replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        rows.append((doc, " ".join(words)))
+    made = counted_pairs(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cases.same(jaccard.linked(docs).select("doc_id", "n_shingles", "component_id").collect(), cases.linked(rows))
+    assert sum(made) < 20 * len(rows)
+
+
+def test_jaccard_skips_blocks_of_a_shingle_in_many_components(spark, monkeypatch):
+    """One common passage in texts of many sizes: most entries of its lists are never joined."""
+    rng = np.random.default_rng(6)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(doc, " ".join([common, *[f"y{rng.integers(10**9)}" for _ in range(4 + doc)]])) for doc in range(200)]
+    rows += [(1000 + doc, text.replace("c0 ", "z ")) for doc, text in rows[::10]]
+    made = counted_pairs(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cases.same(jaccard.linked(docs).select("doc_id", "n_shingles", "component_id").collect(), cases.linked(rows))
+    assert sum(made) < 10 * len(rows)
+
+
 def test_jaccard_chain_of_many_near_copies(spark):
     words = [f"w{i}" for i in range(60)]
     rows = []
