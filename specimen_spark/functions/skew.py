@@ -24,7 +24,7 @@ def join_spread(rows: DataFrame, keyed: DataFrame, key: str, share: float = SHAR
     )
     parts = F.coalesce("_parts", F.lit(1))
     dealt = rows.join(hot, F.col(key) == F.col("_key"), "left").withColumn(
-        "_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), parts).cast("int")
+        "_part", F.when(parts > 1, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), parts)).otherwise(0).cast("int")
     ).drop("_key", "_parts")
     repeated = keyed.join(hot, F.col(key) == F.col("_key"), "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), parts - 1))

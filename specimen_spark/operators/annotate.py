@@ -127,9 +127,22 @@ def _drop_wide(df: DataFrame) -> DataFrame:
     return df.drop(*[f"_{k}" for k in KINDS])
 
 
-def annot_merge(df: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Annotations joined for display, with defaults; missing curator columns become null."""
-    base = _flatten_lists(df.drop("selected", "flag", "updated_id", "curator_notes"))
+def _annotated(df: DataFrame, annotations: DataFrame, widen, replaced) -> tuple[DataFrame, list[str]]:
+    """Rows with a struct per kind, and the names of their own columns without those replaced."""
+    joined = df.join(_wide(annotations), "processid", "left")
+    joined = (widen(joined) if widen else joined).drop(*replaced)
+    structs = [f"_{k}" for k in KINDS]
+    return joined, [c for c in joined.columns if c not in structs]
+
+
+def annot_merge(df: DataFrame, annotations: DataFrame, widen=None) -> DataFrame:
+    """Annotations joined for display, with defaults; missing curator columns become null.
+
+    ``widen``, a row-wise function, gives the columns of compact rows (with their ``processid``) and
+    passes others on; only compact rows meet the annotations then.
+    """
+    joined, _ = _annotated(df, annotations, widen, ("selected", "flag", "updated_id", "curator_notes"))
+    base = _flatten_lists(joined)
     absent = {
         c: F.lit(None).cast("double" if c in ("rank", "quality_score") else "string")
         for c in rules.CURATOR_COLUMNS
@@ -138,30 +151,25 @@ def annot_merge(df: DataFrame, annotations: DataFrame) -> DataFrame:
     if absent:
         base = base.withColumns(absent)
     casts = {c: F.col(c).cast("double") for c in ("quality_score", "rank")}
-    joined = base.withColumns(casts).join(_wide(annotations), "processid", "left")
-    return order_columns(_drop_wide(joined.withColumns(_annotation_values())))
+    return order_columns(_drop_wide(base.withColumns(casts).withColumns(_annotation_values())))
 
 
-def annot_merge_export(df: DataFrame, annotations: DataFrame) -> DataFrame:
+def annot_merge_export(df: DataFrame, annotations: DataFrame, widen=None) -> DataFrame:
     """Annotations joined for export: flag user and time added, lists joined, HTML stripped
-    from every text column of the data, annotation columns first. Idempotent."""
-    base = _flatten_lists(df.drop(*rules.EXPORT_ANNOTATION_COLUMNS))
-    texts = {
-        f.name: strip_html(f.name)
-        for f in base.schema.fields
-        if isinstance(f.dataType, T.StringType) and f.name != "processid"
-    }
-    # the key keeps its raw value for the join and is stripped after it
-    joined = base.withColumns(texts).join(_wide(annotations), "processid", "left")
+    from every text column of the data, annotation columns first. Idempotent. ``widen``: see
+    ``annot_merge``."""
+    joined, columns = _annotated(df, annotations, widen, rules.EXPORT_ANNOTATION_COLUMNS)
+    base = _flatten_lists(joined)
+    # the key had its raw value for the join and is stripped after it
+    texts = {c: strip_html(c) for c in columns if isinstance(base.schema[c].dataType, T.StringType)}
     values = {
         **_annotation_values(),
         "flag_user": F.coalesce("_flag.user", F.lit("")),
         "flag_timestamp": F.coalesce("_flag.ts", F.lit("")),
-        "processid": strip_html("processid"),
     }
-    out = _drop_wide(joined.withColumns(values))
+    out = _drop_wide(base.withColumns(texts).withColumns(values))
     first = rules.EXPORT_ANNOTATION_COLUMNS
-    return out.select(*first, *[c for c in base.columns if c not in first])
+    return out.select(*first, *[c for c in columns if c not in first])
 
 
 def annot_validate(annotations: DataFrame, df: DataFrame) -> DataFrame:

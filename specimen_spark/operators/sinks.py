@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specimen_spark import rules
+from specimen_spark.functions.storage import directory_size
 from specimen_spark.functions.text import is_blank, not_blank
 from specimen_spark.operators.annotate import _flatten_lists, annot_merge_export
 from specimen_spark.operators.filters import filter_annotated, filter_selected
@@ -55,21 +56,21 @@ def write_tsv(df: DataFrame, path: str) -> None:
     )
 
 
-def tsv_all(df: DataFrame, annotations: DataFrame) -> DataFrame:
-    return annot_merge_export(df, annotations)
+def tsv_all(df: DataFrame, annotations: DataFrame, widen=None) -> DataFrame:
+    return annot_merge_export(df, annotations, widen)
 
 
-def tsv_filtered(filtered: DataFrame, annotations: DataFrame) -> DataFrame:
+def tsv_filtered(filtered: DataFrame, annotations: DataFrame, widen=None) -> DataFrame:
     """The rows of the current filters (``filter_rank``, ``filter_min_score``, ...)."""
-    return annot_merge_export(filtered, annotations)
+    return annot_merge_export(filtered, annotations, widen)
 
 
-def tsv_selected(df: DataFrame, annotations: DataFrame) -> DataFrame:
-    return annot_merge_export(filter_selected(df, annotations), annotations)
+def tsv_selected(df: DataFrame, annotations: DataFrame, widen=None) -> DataFrame:
+    return annot_merge_export(filter_selected(df, annotations), annotations, widen)
 
 
-def tsv_annotated(df: DataFrame, annotations: DataFrame) -> DataFrame:
-    return annot_merge_export(filter_annotated(df, annotations), annotations)
+def tsv_annotated(df: DataFrame, annotations: DataFrame, widen=None) -> DataFrame:
+    return annot_merge_export(filter_annotated(df, annotations), annotations, widen)
 
 
 def curation_report(df: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -215,11 +216,3 @@ def logged_export(spark, audit_path: str, write, frame: DataFrame, path: str, **
          "success": True},
     )
     return True
-
-
-def directory_size(spark, path: str) -> int:
-    """Bytes below a path, from the file system's own summary."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(target).getLength())

@@ -13,7 +13,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.functions.storage import children, delete, exists
+from specimen_spark.functions.storage import children, delete, exists, materialize
 from specimen_spark.functions.text import not_blank, title_first, trimws
 from specimen_spark.sources.retrieval import RECORDSET_COLUMN, TAXON_COLUMNS
 
@@ -22,8 +22,17 @@ PLACE = "_place"
 RECORDSET, NAME, SPLIT = "recordset", "name", "processid"
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    return df.withColumn(PLACE, F.when(not_blank("bin_uri"), F.col("bin_uri")).otherwise(F.coalesce("processid", F.lit(""))))
+def _with(rows: DataFrame, widen, columns) -> DataFrame:
+    """Stored rows with some columns of their records."""
+    if widen is None:
+        return rows
+    held = rows.withColumn("_stored", F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    return widen(held).select("_stored.*", *[c for c in columns if c not in rows.columns])
+
+
+def _placed(df: DataFrame, widen=None) -> DataFrame:
+    place = F.when(not_blank("bin_uri"), F.col("bin_uri")).otherwise(F.coalesce("processid", F.lit("")))
+    return _with(df, widen, ["bin_uri", "processid"]).withColumn(PLACE, place).select(*df.columns, PLACE)
 
 
 def bucket_of(column, buckets: int):
@@ -31,20 +40,25 @@ def bucket_of(column, buckets: int):
     return F.pmod(F.hash(column), F.lit(buckets)).cast("int")
 
 
-def write_universe(df: DataFrame, path: str, buckets: int, delimiter: str = ",") -> "StoredUniverse":
-    """Write records and index below ``path``; about one file a bucket. What was there is replaced."""
+def write_universe(df: DataFrame, path: str, buckets: int, delimiter: str = ",", widen=None) -> "StoredUniverse":
+    """Write records and index below ``path``; about one file a bucket. What was there is replaced.
+
+    ``widen``, a row-wise function that passes further columns on, gives the records of compact rows: these
+    are shuffled and stored then, and records are derived where they are read.
+    """
     spark, table = df.sparkSession, _table_name(path)
     spark.sql(f"drop table if exists {table}")
     if exists(spark, path):
         delete(spark, path)
     (
-        _placed(df).repartition(buckets, PLACE).write.bucketBy(buckets, PLACE).sortBy(PLACE)
+        _placed(df, widen).repartition(buckets, PLACE).write.bucketBy(buckets, PLACE).sortBy(PLACE)
         .option("path", f"{path}/records").format("parquet").saveAsTable(table)
     )
-    rows = spark.table(table).withColumn("bucket", bucket_of(PLACE, buckets))
-    ranks = [c for c in TAXON_COLUMNS if c in df.columns]
+    store = StoredUniverse(spark, path, buckets, widen)
+    rows = store.records().withColumn("bucket", bucket_of(PLACE, buckets))
+    ranks = [c for c in TAXON_COLUMNS if c in rows.columns]
     entries = []
-    if RECORDSET_COLUMN in df.columns:
+    if RECORDSET_COLUMN in rows.columns:
         # codes are tested on distinct texts, far fewer than records
         texts = rows.select(RECORDSET_COLUMN, "bucket").distinct()
         codes = F.explode(F.transform(F.split(RECORDSET_COLUMN, delimiter), lambda c: trimws(c)))
@@ -52,25 +66,25 @@ def write_universe(df: DataFrame, path: str, buckets: int, delimiter: str = ",")
     if ranks:
         tuples = rows.select(*ranks, "bucket").distinct()
         entries.append(tuples.select(F.lit(NAME).alias("kind"), F.explode(F.array_compact(F.array(*ranks))).alias("code"), "bucket"))
-    several = rows.groupBy("processid").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).filter("lo <> hi").select("processid")
-    entries.append(rows.join(several, "processid", "left_semi").select(F.lit(SPLIT).alias("kind"), F.col("processid").alias("code"), "bucket"))
+    several = rows.filter("processid is not null").groupBy("processid").agg(F.collect_set("bucket").alias("_in")).filter(F.size("_in") > 1)
+    entries.append(several.select(F.lit(SPLIT).alias("kind"), F.col("processid").alias("code"), F.explode("_in").alias("bucket")))
     index = entries[0]
     for more in entries[1:]:
         index = index.unionByName(more)
     index.distinct().repartitionByRange("kind", "code").sortWithinPartitions("kind", "code").write.parquet(f"{path}/index")
-    return StoredUniverse(spark, path, buckets)
+    return store
 
 
 _LOCK = threading.RLock()
 
 
-def stored_once(df: DataFrame, folder: str, source: str, buckets: int) -> "StoredUniverse":
+def stored_once(df: DataFrame, folder: str, source: str, buckets: int, widen=None) -> "StoredUniverse":
     """The store of records whose sources' state ``source`` names; written on first use, whole or not at all."""
     path = f"{folder}/universe-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
     with _LOCK:
         if exists(df.sparkSession, f"{path}/index/_SUCCESS"):
-            return StoredUniverse(df.sparkSession, path, buckets)
-        return write_universe(df, path, buckets)
+            return StoredUniverse(df.sparkSession, path, buckets, widen)
+        return write_universe(df, path, buckets, widen=widen)
 
 
 def _table_name(path: str) -> str:
@@ -78,10 +92,11 @@ def _table_name(path: str) -> str:
 
 
 class StoredUniverse:
-    """An opened store. ``buckets`` must be the number it was written with."""
+    """An opened store. ``buckets`` and ``widen`` must be those it was written with."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
+    def __init__(self, spark: SparkSession, path: str, buckets: int, widen=None):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.widen = widen
         self.table = _table_name(path)
         if not spark.catalog.tableExists(self.table):
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/records").schema)
@@ -91,6 +106,10 @@ class StoredUniverse:
 
     def records(self, buckets: list[int] | None = None) -> DataFrame:
         """All records, or those of some buckets, from their files alone."""
+        rows = self._stored(buckets)
+        return self.widen(rows) if self.widen else rows
+
+    def _stored(self, buckets: list[int] | None = None) -> DataFrame:
         if buckets is None:
             return self.spark.table(self.table)
         schema = self.spark.table(self.table).schema
@@ -100,6 +119,10 @@ class StoredUniverse:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/records/{n}" for n in files])
 
+    def _found(self, rows: DataFrame) -> DataFrame:
+        rows = rows.drop(PLACE)
+        return self.widen(rows) if self.widen else rows
+
     def buckets_of(self, kind: str, codes: DataFrame) -> list[int]:
         """Buckets that hold one of the codes (one column); at most as many as there are buckets."""
         index = self.spark.read.parquet(f"{self.path}/index").filter(F.col("kind") == kind)
@@ -113,36 +136,33 @@ class StoredUniverse:
         if not isinstance(codes, DataFrame):
             codes = self.spark.createDataFrame([(c,) for c in codes], "_code string")
         wanted = codes.toDF("_code").select(trimws("_code").alias("_code")).filter("_code <> ''").distinct()
-        rows = self.records(self.buckets_of(RECORDSET, wanted))
+        rows = _with(self._stored(self.buckets_of(RECORDSET, wanted)), self.widen, [RECORDSET_COLUMN])
         members = F.transform(F.split(F.col(RECORDSET_COLUMN), delimiter), lambda c: trimws(c))
-        hits = (
+        hits = materialize(
             rows.select(RECORDSET_COLUMN).distinct().select(RECORDSET_COLUMN, F.explode(members).alias("_code"))
-            .join(wanted, "_code", "left_semi").select(RECORDSET_COLUMN).distinct()
-        )
-        return rows.join(hits, RECORDSET_COLUMN, "left_semi").select(*self._columns(rows))
+            .join(wanted, "_code", "left_semi").select(RECORDSET_COLUMN).distinct(), "recordsets")
+        return self._found(rows.join(hits, RECORDSET_COLUMN, "left_semi").select(*rows.columns))
 
     def by_taxa(self, names: DataFrame) -> DataFrame:
         """Records whose name at any rank is one of the names, and all of their processids; as ``retrieval.by_taxa``."""
         column = names.columns[0] if "name" not in names.columns else "name"
         wanted = names.select(title_first(column).alias("_name")).filter(not_blank("_name")).distinct()
         first = self.buckets_of(NAME, wanted)
-        rows = self.records(first)
+        rows = self.records(first)  # of which the join below sees a key and names
         ranks = F.array(*[F.col(c) for c in TAXON_COLUMNS if c in rows.columns])
         keys = (
             rows.select("processid", F.explode(F.array_compact(F.array_distinct(ranks))).alias("_name"))
             .join(wanted, "_name", "left_semi").select("processid").distinct()
         )
         more = self.buckets_of(SPLIT, keys)
-        rows = self.records(sorted({*first, *more}))
-        return rows.join(keys, "processid", "left_semi").select(*self._columns(rows))
+        rows = _with(self._stored(sorted({*first, *more})), self.widen, ["processid"])
+        return self._found(rows.join(keys, "processid", "left_semi").select(*rows.columns))
 
     def expand_bins(self, current: DataFrame) -> DataFrame:
         """Append all records of any BIN in the current set: one hop, first copy wins; as ``retrieval.expand_bins``."""
         bins = current.filter(not_blank("bin_uri")).select(F.col("bin_uri").alias(PLACE)).distinct()
-        members = self.records().filter(not_blank("bin_uri")).join(bins, PLACE, "left_semi")
+        rows = _with(self._stored(), self.widen, ["processid", "bin_uri"])
+        members = rows.filter(not_blank("bin_uri")).join(bins, PLACE, "left_semi")
         held = current.select(F.col("processid").alias("_held"))
-        new = members.join(held, members.processid.eqNullSafe(held._held), "left_anti")
+        new = self._found(members.join(held, members.processid.eqNullSafe(held._held), "left_anti").select(*rows.columns))
         return current.unionByName(new.select(*current.columns))
-
-    def _columns(self, rows: DataFrame) -> list[str]:
-        return [c for c in rows.columns if c != PLACE]
