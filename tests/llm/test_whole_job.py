@@ -84,3 +84,12 @@ def test_a_language_moves_gradually_to_its_own_limit(spark):
         share = n / (n + 30)
         want = math.exp(share * math.log(limit(by_lang[r.lang])) + (1 - share) * math.log(pooled)) if n else pooled
         assert math.isclose(r.threshold, want, rel_tol=1e-9), (r.lang, n)
+
+
+def test_all_trusted_documents_teach(spark):
+    from specimen_spark.llm.quality import trusted_ids
+
+    labels = spark.range(1_100_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 11 = 0 as int) as toxic")
+    assert trusted_ids(labels).count() == 1_000_000
+    labels = spark.range(1_200_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert trusted_ids(labels).count() == 1_200_000
