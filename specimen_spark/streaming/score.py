@@ -9,7 +9,7 @@ from specimen_spark.operators.score import process_specimens
 
 def stream_score(
     specimens: DataFrame, images: DataFrame | None = None, scoring=None, ranks=None,
-    keys=("processid",), time: str = "arrived", within: str = "1 hour",
+    keys=("processid",), time: str = "arrived", within: str = "1 hour", widen=None,
 ) -> DataFrame:
     """Validation flags, score, rank and defaults on a streaming frame; output mode append.
 
@@ -18,10 +18,11 @@ def stream_score(
     With a stream of images both streams have an event time, and a specimen is scored at once without
     image and again when an image of its processid arrives, up to ``within`` before or after it. Rows
     with equal ``keys``, and further images of a processid, are dropped ``within`` the watermark, which also
-    bounds what the join keeps. Each specimen so has one or two rows: ``latest_scores`` takes the one that counts.
+    bounds what the join keeps. ``widen``, a row-wise function, gives the specimens of compact rows with these
+    keys and the time, so that shuffles and state hold compact rows. Each specimen so has one or two rows: ``latest_scores`` takes the one that counts.
     """
     if images is None or not images.isStreaming:
-        return process_specimens(specimens, images, scoring, ranks)
+        return process_specimens(widen(specimens) if widen else specimens, images, scoring, ranks)
     arriving = (
         specimens.drop("has_image").withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
     )
@@ -34,7 +35,7 @@ def stream_score(
     near = (F.col("_seen") >= F.col(time) - span) & (F.col("_seen") <= F.col(time) + span)
     with_image = arriving.join(seen, (F.col("processid") == F.col("_pid")) & near).drop("_pid", "_seen")
     both = arriving.withColumn("has_image", F.lit(False)).unionByName(with_image.withColumn("has_image", F.lit(True)))
-    return process_specimens(both, None, scoring, ranks)
+    return process_specimens(widen(both) if widen else both, None, scoring, ranks)
 
 
 def latest_scores(rows: DataFrame, keys=("processid",)) -> DataFrame:

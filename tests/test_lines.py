@@ -57,3 +57,18 @@ def test_held_columns_stay(spark):
     lines = fx.lines(spark, SF).withColumns({"species": F.lit("kept"), "more": F.lit(1)})
     row = fx.widen(lines).first()
     assert row["species"] == "kept" and row["more"] == 1 and row["genus"] != "kept"
+
+
+def test_streamed_state_holds_lines(spark, tmp_path):
+    """The state's schema in the checkpoint names no text column."""
+    held = set()
+    run = catalog.new_path
+    try:
+        catalog.new_path = lambda s, name: str(tmp_path / name)
+        assert catalog.QUERIES["stream_score_images"](spark, SF).count() > 0
+    finally:
+        catalog.new_path = run
+    for file in (tmp_path / "score-checkpoint" / "state").rglob("*"):
+        if file.is_file() and "schema" in str(file):
+            held.add(b"taxonomy_notes" in file.read_bytes())
+    assert held == {False}
