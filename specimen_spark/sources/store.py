@@ -15,24 +15,16 @@ from pyspark.sql import functions as F
 
 from specimen_spark.functions.storage import children, delete, exists, materialize
 from specimen_spark.functions.text import not_blank, title_first, trimws
-from specimen_spark.sources.retrieval import RECORDSET_COLUMN, TAXON_COLUMNS
+from specimen_spark.sources.retrieval import RECORDSET_COLUMN, TAXON_COLUMNS, with_columns_of
 
 #: Where a record lies: its BIN, or its processid where it has none.
 PLACE = "_place"
 RECORDSET, NAME, SPLIT = "recordset", "name", "processid"
 
 
-def _with(rows: DataFrame, widen, columns) -> DataFrame:
-    """Stored rows with some columns of their records."""
-    if widen is None:
-        return rows
-    held = rows.withColumn("_stored", F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    return widen(held).select("_stored.*", *[c for c in columns if c not in rows.columns])
-
-
 def _placed(df: DataFrame, widen=None) -> DataFrame:
     place = F.when(not_blank("bin_uri"), F.col("bin_uri")).otherwise(F.coalesce("processid", F.lit("")))
-    return _with(df, widen, ["bin_uri", "processid"]).withColumn(PLACE, place).select(*df.columns, PLACE)
+    return with_columns_of(df, widen, ["bin_uri", "processid"]).withColumn(PLACE, place).select(*df.columns, PLACE)
 
 
 def bucket_of(column, buckets: int):
@@ -136,7 +128,7 @@ class StoredUniverse:
         if not isinstance(codes, DataFrame):
             codes = self.spark.createDataFrame([(c,) for c in codes], "_code string")
         wanted = codes.toDF("_code").select(trimws("_code").alias("_code")).filter("_code <> ''").distinct()
-        rows = _with(self._stored(self.buckets_of(RECORDSET, wanted)), self.widen, [RECORDSET_COLUMN])
+        rows = with_columns_of(self._stored(self.buckets_of(RECORDSET, wanted)), self.widen, [RECORDSET_COLUMN])
         members = F.transform(F.split(F.col(RECORDSET_COLUMN), delimiter), lambda c: trimws(c))
         hits = materialize(
             rows.select(RECORDSET_COLUMN).distinct().select(RECORDSET_COLUMN, F.explode(members).alias("_code"))
@@ -155,13 +147,13 @@ class StoredUniverse:
             .join(wanted, "_name", "left_semi").select("processid").distinct()
         )
         more = self.buckets_of(SPLIT, keys)
-        rows = _with(self._stored(sorted({*first, *more})), self.widen, ["processid"])
+        rows = with_columns_of(self._stored(sorted({*first, *more})), self.widen, ["processid"])
         return self._found(rows.join(keys, "processid", "left_semi").select(*rows.columns))
 
     def expand_bins(self, current: DataFrame) -> DataFrame:
         """Append all records of any BIN in the current set: one hop, first copy wins; as ``retrieval.expand_bins``."""
         bins = current.filter(not_blank("bin_uri")).select(F.col("bin_uri").alias(PLACE)).distinct()
-        rows = _with(self._stored(), self.widen, ["processid", "bin_uri"])
+        rows = with_columns_of(self._stored(), self.widen, ["processid", "bin_uri"])
         members = rows.filter(not_blank("bin_uri")).join(bins, PLACE, "left_semi")
         held = current.select(F.col("processid").alias("_held"))
         new = self._found(members.join(held, members.processid.eqNullSafe(held._held), "left_anti").select(*rows.columns))
