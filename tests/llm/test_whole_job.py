@@ -93,3 +93,23 @@ def test_all_trusted_documents_teach(spark):
     assert trusted_ids(labels).count() == 1_000_000
     labels = spark.range(1_200_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     assert trusted_ids(labels).count() == 1_200_000
+
+
+def test_texts_do_not_move_for_the_trusted_ids(spark, monkeypatch):
+    """However low Spark's own limit for broadcasts is."""
+    plans = []
+
+    def noted(docs, run=quality.training_counts):
+        plans.append(docs._jdf.queryExecution().optimizedPlan().toString() + docs._jdf.queryExecution().sparkPlan().toString())
+        return run(docs)
+
+    monkeypatch.setattr(quality, "training_counts", noted)
+    docs = cases.documents(spark, [cases.doc(1, cases.SENTENCE), cases.doc(2, OTHER)])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality.classify(docs, labels).count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
