@@ -44,29 +44,23 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(*_identity(), F.col("text").cast("string").alias("text"))
 
 
-def long_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(lid, n, d, t, l, v0, v1, ...) of every line that takes part, with its level-1 variants.
+def worded_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(lid, n, d, t, l, v0, v1, ...) of every line with words, with the level-1 variants of those that have near copies.
 
     Variants 0 to SEGMENTS - 1 are the line's own (role 0), the others those of the longer line of a
-    pair (role 1).
+    pair (role 1); null in lines of fewer than ``min_words`` words. Words are made inside the generator, so
+    that a filter on their number does not make them again.
     """
     lines = identified(docs).select(
-        "d", "t", F.posexplode(lines_of(F.col("text"))).alias("l", "line")
-    ).select("d", "t", "l", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
+        "d", "t", F.posexplode_outer(F.transform(lines_of(F.col("text")), words_of)).alias("l", "w")
+    ).withColumn("n", F.size("w")).filter(F.col("n") > 0)
     keys = [
-        _part_key(F.col("w"), F.col("n"), F.col("n") - role, j).alias(f"v{role * SEGMENTS + j}")
+        F.when(F.col("n") >= min_words, _part_key(F.col("w"), F.col("n"), F.col("n") - role, j)).alias(f"v{role * SEGMENTS + j}")
         for role in (0, 1) for j in range(SEGMENTS)
     ]
     return lines.select(F.xxhash64("w").alias("lid"), "n", "d", "t", "l", *keys)
 
 
-def short_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(lid, n, d, t, l) of every line of 1 to ``min_words`` - 1 words."""
-    lines = identified(docs).select("d", "t", F.posexplode(lines_of(F.col("text"))).alias("l", "line"))
-    words = lines.select(words_of(F.col("line")).alias("w"), "d", "t", "l").withColumn("n", F.size("w"))
-    return words.filter((F.col("n") > 0) & (F.col("n") < min_words)).select(F.xxhash64("w").alias("lid"), "n", "d", "t", "l")
-
-
 def _part_key(w: Column, n: Column, length: Column, j: int) -> Column:
     """Key of a line without its part j, cut as a line of ``length`` words is cut."""
     begin, rest = _begin(length, j), length - _begin(length, j + 1)
@@ -185,20 +179,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Null text has no lines and stays null; lines without words stay; line order is kept. Other
     columns pass through, whatever their names. An empty table gives no rows.
     """
-    lines = staged(long_lines(docs, min_words), "lines")
-    firsts = staged(earliest_lines(lines), "distinct_lines")
+    lines = staged(worded_lines(docs, min_words), "lines")
+    firsts = staged(earliest_lines(lines.filter(F.col("n") >= min_words)), "distinct_lines")
     gone = replaced_lines(docs, firsts).select(F.col("lid").alias("gone"))
     stay = staged(
         firsts.select(F.col("lid").alias("key"), "first").join(gone, F.col("key") == F.col("gone"), "left")
         .select("key", "first", F.col("gone").isNull().alias("stays")),
         "staying_lines",
     )
-    short = staged(short_lines(docs, min_words), "short_lines")
+    short = lines.filter(F.col("n") < min_words)
     earliest = short.groupBy(F.col("lid").alias("key")).agg(F.min(F.struct("d", "t", "l")).alias("first"))
     stay = stay.union(staged(earliest.withColumn("stays", F.lit(True)), "short_firsts"))
-    lines = lines.select("lid", "d", "t", "l").union(short.select("lid", "d", "t", "l"))
     lost = staged(
-        lines.join(stay, F.col("lid") == F.col("key"))
+        lines.select("lid", "d", "t", "l").join(stay, F.col("lid") == F.col("key"))
         .filter(~(F.col("stays") & (F.struct("d", "t", "l") == F.col("first"))))
         .groupBy(F.col("d").alias("ld"), F.col("t").alias("lt")).agg(F.collect_set("l").alias("lost")),
         "lost_lines",

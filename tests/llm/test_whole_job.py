@@ -113,3 +113,18 @@ def test_texts_do_not_move_for_the_trusted_ids(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_lines_are_cut_into_words_once(spark, monkeypatch):
+    """Short and long lines come from one scan of the texts."""
+    scans = []
+
+    def noted(df, name, run=linededup.staged):
+        scans.extend([name] * ("posexplode" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return run(df, name)
+
+    monkeypatch.setattr(linededup, "staged", noted)
+    docs = cases.documents(spark, [cases.doc(1, "short line\n" + OTHER), cases.doc(2, "Short  line\n\n" + OTHER + " x"), cases.doc(3, None)])
+    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.dedup_lines(docs).collect()}
+    assert got == {1: (0, "short line\n" + OTHER), 2: (2, ""), 3: (0, None)}
+    assert scans == ["lines"]
