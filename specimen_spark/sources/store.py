@@ -11,6 +11,7 @@ import re
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specimen_spark.functions.storage import children, delete, exists, materialize
@@ -58,15 +59,25 @@ def write_universe(df: DataFrame, path: str, buckets: int, delimiter: str = ",",
     if ranks:
         tuples = rows.select(*ranks, "bucket").distinct()
         entries.append(tuples.select(F.lit(NAME).alias("kind"), F.explode(F.array_compact(F.array(*ranks))).alias("code"), "bucket"))
-    several = rows.filter("processid is not null").groupBy("processid").agg(F.collect_set("bucket").alias("_in")).filter(F.size("_in") > 1)
-    entries.append(several.select(F.lit(SPLIT).alias("kind"), F.col("processid").alias("code"), F.explode("_in").alias("bucket")))
-    index = entries[0]
+    index = entries[0].distinct() if entries else None
     for more in entries[1:]:
-        index = index.unionByName(more)
-    index.distinct().repartitionByRange("kind", "code").sortWithinPartitions("kind", "code").write.parquet(f"{path}/index")
+        index = index.unionByName(more.distinct())
+    split = split_places(rows, buckets).select(F.lit(SPLIT).alias("kind"), F.col("processid").alias("code"), "bucket")
+    index = split if index is None else index.unionByName(split)
+    index.repartitionByRange("kind", "code").sortWithinPartitions("kind", "code").write.parquet(f"{path}/index")
     return store
 
 
+def split_places(rows: DataFrame, parts: int) -> DataFrame:
+    """(processid, bucket) of the processids that lie in several buckets.
+
+    Pairs move once, by processid, into parts that a task holds in memory; there they are made distinct and counted.
+    """
+    pairs = rows.filter("processid is not null").select("processid", "bucket").repartition(parts, "processid").distinct()
+    counted = pairs.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("processid")))
+    return counted.filter("_n > 1").select("processid", "bucket")
+
+
 _LOCK = threading.RLock()
 
 
