@@ -27,15 +27,19 @@ def _keys(annotations: DataFrame, kinds) -> DataFrame:
     return annotations.filter(F.col("kind").isin(list(kinds))).select("processid").distinct()
 
 
-def filter_selected(df: DataFrame, annotations: DataFrame) -> DataFrame:
-    return df.join(_keys(annotations, ["selected"]), "processid", "left_semi")
+def _held(df: DataFrame, keys: DataFrame, dealt: bool) -> DataFrame:
+    """Rows with one of the keys. ``dealt``: by a shuffled hash join at every size, for frames whose keys may outgrow a
+    broadcast: rows are moved once and never sorted."""
+    return df.join(keys.hint("shuffle_hash") if dealt else keys, "processid", "left_semi")
 
 
-def filter_annotated(df: DataFrame, annotations: DataFrame) -> DataFrame:
+def filter_selected(df: DataFrame, annotations: DataFrame, dealt: bool = False) -> DataFrame:
+    return _held(df, _keys(annotations, ["selected"]), dealt)
+
+
+def filter_annotated(df: DataFrame, annotations: DataFrame, dealt: bool = False) -> DataFrame:
     """Rows with a flag, a note or an updated id; a selection alone does not count."""
-    return df.join(
-        _keys(annotations, ["flag", "curator_notes", "updated_id"]), "processid", "left_semi"
-    )
+    return _held(df, _keys(annotations, ["flag", "curator_notes", "updated_id"]), dealt)
 
 
 def filtered_metrics(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """What grows with the specimens is moved once and sorted in parts that fit in memory."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from specimen_spark.functions import session, storage
@@ -49,3 +50,19 @@ def test_written_files_are_small(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(storage, "FILE_ROWS", 100)
     got = storage.written_once(spark, "small-files", str(tmp_path), lambda: spark.range(1000).coalesce(1))
     assert got.count() == 1000 and len(got.inputFiles()) == 10
+
+
+@pytest.mark.parametrize("name", ["filter_selected", "filter_annotated", "out_tsv_selected", "out_tsv_annotated"])
+def test_found_specimens_alone_are_scored(spark, monkeypatch, name):
+    """The filter by key goes below the join with the parts; no table of all lines or scores is made for it."""
+    monkeypatch.setattr(storage, "written_once", None)
+    monkeypatch.setattr(catalog, "written_once", None)
+    monkeypatch.setattr(fx, "written_once", None)
+    text = optimized(catalog.QUERIES[name](spark, SF))
+    assert text.index("p_partkey#") < text.rindex("Join LeftSemi")
+    assert text.index("Window") < text.rindex("Join LeftSemi")
+
+
+def test_lines_meet_edited_keys_in_one_plan_for_every_size(spark):
+    text = plan(catalog.QUERIES["filter_selected"](spark, SF))
+    assert "ShuffledHashJoin [processid" in text and "LeftSemi" in text and "SortMergeJoin" not in text
