@@ -8,6 +8,8 @@ in batches of that length. Cutting needs no other row, so nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import zlib
 
@@ -21,6 +23,8 @@ END_ID = 2
 SEQUENCE = 4096
 #: Entries a worker's word cache may hold before it begins anew; bounds its memory.
 CACHE_ENTRIES = 600_000
+#: Words that stay known to a worker's later tasks: those met first, among them the frequent ones.
+KEPT = 50_000
 
 
 class WordEncoder:
@@ -46,7 +50,7 @@ class WordEncoder:
         self.normalize = self.whole.normalizer.normalize_str
         self.model = self.whole.model
         self.to_units = _byte_units()
-        self.words: dict[str, bytes] = {}
+        self.words = _Made(self._word)
         self.units: dict[str, bytes] = {}
 
     def _unit(self, unit: str) -> bytes:
@@ -66,18 +70,34 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.words
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-            self.units.clear()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-        return b"".join([known[w] for w in words])
+        if len(self.words) > CACHE_ENTRIES:
+            self.trim()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def trim(self) -> None:
+        """Forget all words but the first ``KEPT``, so that an idle worker holds little."""
+        kept = list(itertools.islice(self.words.items(), KEPT))
+        self.words.clear()
+        self.words.update(kept)
+        self.units.clear()
+
+
+class _Made(dict):
+    """Values by key, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder: its tasks share the file read and the words known."""
+    return WordEncoder(path)
 
 
 def _byte_units() -> dict[int, int]:
@@ -123,30 +143,33 @@ def pack(
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 512):
-                out = {k: [] for k in ("doc", "start", "length", "crc", "tokens", "ids")}
-                for doc, text in zip(ids[at : at + 512], texts.slice(at, 512).to_pylist()):
-                    data = (encoder.encode(text) if text else b"") + end
-                    total = len(data) // 4
-                    for start, length in cuts(total, longest):
-                        piece = data[start * 4 : (start + length) * 4]
-                        out["doc"].append(doc)
-                        out["start"].append(start)
-                        out["length"].append(length)
-                        out["crc"].append(zlib.crc32(piece))
-                        out["tokens"].append(total)
-                        out["ids"].append(piece)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[pa.array(out[k], pa.int64()) for k in ("doc", "start", "length", "crc", "tokens")],
-                        pa.array([0] * len(out["doc"]), pa.int64()),
-                        _int_lists(out["ids"]) if with_ids else pa.nulls(len(out["doc"]), pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "ids"],
-                )
+        encoder = encoder_of(tokenizer)
+        try:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                for at in range(0, len(ids), 512):
+                    out = {k: [] for k in ("doc", "start", "length", "crc", "tokens", "ids")}
+                    for doc, text in zip(ids[at : at + 512], texts.slice(at, 512).to_pylist()):
+                        data = (encoder.encode(text) if text else b"") + end
+                        total = len(data) // 4
+                        for start, length in cuts(total, longest):
+                            piece = data[start * 4 : (start + length) * 4]
+                            out["doc"].append(doc)
+                            out["start"].append(start)
+                            out["length"].append(length)
+                            out["crc"].append(zlib.crc32(piece))
+                            out["tokens"].append(total)
+                            out["ids"].append(piece)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[pa.array(out[k], pa.int64()) for k in ("doc", "start", "length", "crc", "tokens")],
+                            pa.array([0] * len(out["doc"]), pa.int64()),
+                            _int_lists(out["ids"]) if with_ids else pa.nulls(len(out["doc"]), pa.list_(pa.int32())),
+                        ],
+                        names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "ids"],
+                    )
+        finally:
+            encoder.trim()
 
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
     out = pieces.withColumn("sequence_id", F.monotonically_increasing_id())
