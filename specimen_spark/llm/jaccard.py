@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm.common import batches_of, prepared, release, staged, table, without
+from specimen_spark.llm.common import batches_of, few, prepared, release, staged, table, without
 from specimen_spark.llm.components import components
 from specimen_spark.llm.words import CHUNK, Words, gram_hash, mix
 
@@ -250,14 +250,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
-    sets = staged(packed_sets(docs, needed.select("rep", "cls"), shingle), "sets")
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("rep", "cls"), "needed")
+    sets = staged(packed_sets(docs, few(needed), shingle), "sets")
     close = staged(likely(pairs, sets, percent), "likely")
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
     both = close.join(right, "b").join(left, "a").select("a", "b", "x", "y")
     found = staged(both.mapInArrow(run, "a long, b long"), "verified")
-    release(sets, close)
+    release(needed, sets, close)
     return found
 
 

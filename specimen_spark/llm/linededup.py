@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specimen_spark.llm.common import staged, table
+from specimen_spark.llm.common import few, staged, table
 
 MIN_WORDS = 8
 SEGMENTS = 2
+#: Documents that lose lines are told to all tasks up to this number, so that no text moves; more meet the texts in a join.
+MAX_LOST = 500_000
 
 _LAST = (1 << 63) - 1
 
@@ -199,7 +201,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row")).select("row", *_identity("row."))
     text, lines_ = F.col("row.text"), lines_of(F.col("row.text").cast("string"))
     kept = F.array_join(F.filter(lines_, lambda line, i: ~F.array_contains("lost", i)), "\n")
-    return rows.join(lost, (F.col("d") == F.col("ld")) & (F.col("t") == F.col("lt")), "left").select(
+    return rows.join(few(lost, MAX_LOST), (F.col("d") == F.col("ld")) & (F.col("t") == F.col("lt")), "left").select(
         *[F.when(F.col("lost").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"row.{c}").alias(c)
           for c in docs.columns],
         F.when(text.isNull(), 0).otherwise(F.size(lines_)).cast("long").alias("n_lines"),
