@@ -11,7 +11,7 @@ from specimen_spark.functions import commitlog
 from specimen_spark.functions.commitlog import CommitLog
 from specimen_spark.operators import annotate, score
 from specimen_spark.streaming import annotations as stream
-from specimen_spark.streaming.score import latest_scores, stream_score
+from specimen_spark.streaming.score import latest_scores, read_scores, stream_score, stream_score_log
 from tests.helpers import FULL, SPECIMEN, TEXT
 from tests.test_annotations import EDITS, EDIT_SCHEMA
 
@@ -199,3 +199,52 @@ def test_scores_with_images_in_any_order(spark, tmp_path, order):
     key = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     assert key(got) == key(batch)
     assert rows.filter("processid = 'P1'").count() == 2 and rows.filter("processid = 'P2'").count() == 1
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3)))[2:5])
+def test_logged_scores_with_images_in_any_order(spark, tmp_path, order):
+    """As the joined streams, without rows in memory: a batch at a time, some of them by a second start."""
+    when = dt.datetime(2024, 1, 1, 12)
+    specimens = [[{"processid": "P1"}, {"processid": "P2", "species": "Aus sp."}], [{"processid": "P3"}, {"processid": "P1", "nuc": ""}], [{"processid": "P4", "nuc_basecount": "n/a"}]]
+    images = [["P3", ""], ["P1", "P1", None], ["P9", "P4"]]
+    schema = SPECIMEN.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", ") + ", arrived timestamp"
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def arriving(name, fields):
+        return spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / name))
+
+    def start():
+        return stream_score_log(arriving("specimens", schema), arriving("images", "processid string, arrived timestamp"), out, checkpoint, trigger=ONCE)
+
+    for part, mine in enumerate(specimens):
+        rows = [tuple({**FULL, **r}[c] for c in TEXT) + (when + dt.timedelta(minutes=part),) for r in mine]
+        rows_at(spark, rows, schema).coalesce(1).write.parquet(str(tmp_path / "specimens" / str(part)))
+        rows_at(spark, [(p, when + dt.timedelta(minutes=10 * part)) for p in images[order[part]]], "processid string, arrived timestamp").coalesce(1).write.parquet(
+            str(tmp_path / "images" / str(part)))
+        if part:
+            start().awaitTermination()
+    rows = read_scores(spark, out)
+    first = spark.read.option("recursiveFileLookup", True).schema(schema).parquet(str(tmp_path / "specimens")).filter("not (processid = 'P1' and nuc = '')")
+    batch = score.process_specimens(first, spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "images")))
+    columns = ["processid", "has_image", "quality_score", "criteria_met", "rank"]
+    key = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert key(latest_scores(rows)) == key(batch)
+    assert rows.groupBy("processid", "has_image").count().filter("count > 1").count() == 0
+    assert rows.filter("processid = 'P2'").count() == 1 and not rows.filter("processid = 'P1' and has_image").isEmpty()
+
+
+def test_logged_rows_are_let_go(spark, tmp_path):
+    """Folders that nothing can meet any more go, late rows are not taken, and far images are no images."""
+    when = dt.datetime(2024, 1, 1, 12)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    batches = [([("P1", 0)], [("P7", 0)]), ([("P2", 90)], [("P1", 70)]), ([("P3", 300)], [("P2", 120)]), ([("P4", 310), ("L", 20)], [("P3", 290)]), ([("P5", 600)], [("P5", 610)])]
+    full = SPECIMEN.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", ") + ", arrived timestamp"
+    for n, (mine, pictures) in enumerate(batches):
+        at = lambda m: when + dt.timedelta(minutes=m)
+        rows_at(spark, [tuple({**FULL, "processid": p}[c] for c in TEXT) + (at(m),) for p, m in mine], full).write.parquet(str(tmp_path / "specimens" / str(n)))
+        rows_at(spark, [(p, at(m)) for p, m in pictures], "processid string, arrived timestamp").write.parquet(str(tmp_path / "images" / str(n)))
+        read = lambda name, fields: spark.readStream.schema(fields).option("recursiveFileLookup", True).parquet(str(tmp_path / name))
+        stream_score_log(read("specimens", full), read("images", "processid string, arrived timestamp"), out, checkpoint, trigger=ONCE).awaitTermination()
+    got = {(r.processid, r.has_image) for r in read_scores(spark, out).collect()}
+    assert got == {("P1", False), ("P2", False), ("P2", True), ("P3", False), ("P3", True), ("P4", False), ("P5", True)}
+    assert {f["batch"] for f in CommitLog(spark, checkpoint + "/state/log").record()["folders"]} == {2, 3, 4}
