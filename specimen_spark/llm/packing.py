@@ -2,8 +2,9 @@
 
 A document's tokens are cut into pieces whose lengths are powers of two: as many whole sequences
 as fit, then the binary digits of the rest, longest first. Every piece is a sequence of its own, so no
-sequence crosses documents and none is padded; sequences of one length form a bucket, to be read
-in batches of that length. Cutting needs no other row, so nothing is shuffled.
+sequence crosses documents and none is padded. Sequences of one length form a bucket, and each bucket is
+packed into batches of as many tokens as the longest sequence has: ``batch`` holds ``longest / length`` sequences, in
+``slot`` 0 on. Each task fills batches of its own, so nothing is shuffled, and leaves at most one of each bucket part-filled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,9 +122,25 @@ def cuts(total: int, longest: int):
         at += length
 
 
+class Batches:
+    """Where sequences go: per length the batch that is being filled, numbered from the partition's first."""
+
+    def __init__(self, longest: int, partition: int):
+        self.longest, self.next, self.open = longest, partition << 33, {}
+
+    def place(self, length: int) -> tuple[int, int]:
+        """(batch, slot) of the next sequence of this length."""
+        batch, slot = self.open.get(length, (0, 0))
+        if not slot:
+            batch = self.next
+            self.next += 1
+        self.open[length] = batch, (slot + 1) % (self.longest // length)
+        return batch, slot
+
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, "
-    "ids array<int>"
+    "batch long, slot int, ids array<int>"
 )
 
 
@@ -130,12 +148,13 @@ def pack(
     docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int = END_ID,
     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, batch, slot, ids.
 
     ``longest`` must be a power of two. ``length`` is also the bucket. Null and empty texts are
     one end token. Rows with a null or repeated id are packed like any other; ``sequence_id`` tells
-    pieces apart. An empty table gives no rows. Sequence ids come from the input partition and
-    the place in it: unique, not dense.
+    pieces apart. An empty table gives no rows. Sequence ids and batches come from the input partition and
+    the place in it: unique, not dense. Sequences with equal ``batch`` have one length and ``longest`` tokens
+    together, fewer only in the last batch of a length in a partition.
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
@@ -143,12 +162,12 @@ def pack(
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = encoder_of(tokenizer)
+        encoder, filling = encoder_of(tokenizer), Batches(longest, TaskContext.get().partitionId())
         try:
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
                 for at in range(0, len(ids), 512):
-                    out = {k: [] for k in ("doc", "start", "length", "crc", "tokens", "ids")}
+                    out = {k: [] for k in ("doc", "start", "length", "crc", "tokens", "batch", "slot", "ids")}
                     for doc, text in zip(ids[at : at + 512], texts.slice(at, 512).to_pylist()):
                         data = (encoder.encode(text) if text else b"") + end
                         total = len(data) // 4
@@ -159,21 +178,26 @@ def pack(
                             out["length"].append(length)
                             out["crc"].append(zlib.crc32(piece))
                             out["tokens"].append(total)
+                            batch_id, slot = filling.place(length)
+                            out["batch"].append(batch_id)
+                            out["slot"].append(slot)
                             out["ids"].append(piece)
                     yield pa.RecordBatch.from_arrays(
                         [
                             *[pa.array(out[k], pa.int64()) for k in ("doc", "start", "length", "crc", "tokens")],
                             pa.array([0] * len(out["doc"]), pa.int64()),
+                            pa.array(out["batch"], pa.int64()),
+                            pa.array(out["slot"], pa.int32()),
                             _int_lists(out["ids"]) if with_ids else pa.nulls(len(out["doc"]), pa.list_(pa.int32())),
                         ],
-                        names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "ids"],
+                        names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "batch", "slot", "ids"],
                     )
         finally:
             encoder.trim()
 
     pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
     out = pieces.withColumn("sequence_id", F.monotonically_increasing_id())
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "batch", "slot"]
     return out.select(*columns, "ids") if with_ids else out.select(*columns)
 
 
